@@ -109,7 +109,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
     """
     n = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = dealt.mapInArrow(_writer(folder, tokenizer_path, end_id, width), "shard int, n_docs long, n_tokens long, n_bytes long").collect()
+    done = dealt.mapInArrow(_writer(folder, tokenizer_path, end_id, width), "shard long, n_docs long, n_tokens long, n_bytes long").collect()
     return sorted((r.asDict() for r in done if r["n_docs"]), key=lambda r: r["shard"])
 
 
@@ -170,5 +170,5 @@ def read_token_records(spark: SparkSession, folder: str, shards: list[dict], wid
         rows.append((s["shard"], first))
         first += s["n_tokens"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    listed = spark.createDataFrame(rows, "shard int, first long").repartition(max(1, len(rows)))
+    listed = spark.createDataFrame(rows, "shard long, first long").repartition(max(1, len(rows)))
     return listed.mapInArrow(_reader(folder, width, with_ids), schema)
