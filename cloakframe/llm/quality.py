@@ -15,9 +15,10 @@ from .common import SPACE, durable, split_words
 
 #: Words below which no divergence is judged.
 MIN_WORDS = 50
-#: Largest Jensen-Shannon distances (base 2, 0 to 1) from the language's reference.
-MAX_CLASS_DISTANCE = 0.25
-MAX_COMMON_DISTANCE = 0.45
+#: Largest Jensen-Shannon distances (base 2, 0 to 1) from the language's reference: a floor, and what is added to it divided by
+#: the root of the number of words, as the distance of a fair sample falls with its size in that way.
+MAX_CLASS_DISTANCE = (0.2, 0.5)
+MAX_COMMON_DISTANCE = (0.15, 2.0)
 #: Languages of fewer words than this have no reference.
 MIN_REFERENCE_WORDS = 2000
 
@@ -87,7 +88,7 @@ def js_distance(p: str, q: str) -> Column:
             (x, y) -> if(x > 0, x * log2(2 * x / (x + y)), 0D) + if(y > 0, y * log2(2 * y / (x + y)), 0D)), 0D, (a, x) -> a + x) / 2)) end""")
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_common: float = MAX_COMMON_DISTANCE) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: tuple[float, float] = MAX_CLASS_DISTANCE, max_common: tuple[float, float] = MAX_COMMON_DISTANCE) -> DataFrame:
     """(doc_id, text, lang) -> features, class_distance, common_distance, base_failed, kept; one row for each row.
 
     Null and empty texts have no words and fail the base rule; a null lang is compared with the documents without one;
@@ -100,7 +101,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CL
     found = found.withColumns({"class_distance": js_distance("classes", "ref_classes"), "common_distance": js_distance("common", "ref_common")})
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = (F.col("n_words") >= min_words) & (F.coalesce("ref_words", F.lit(0)) >= MIN_REFERENCE_WORDS)
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("common_distance", F.lit(0.0)) > max_common)
+    less = 1 / F.sqrt(F.greatest("n_words", F.lit(1)))
+    far = F.lit(False)
+    for distance, (floor, more) in (("class_distance", max_class), ("common_distance", max_common)):
+        far = far | (F.coalesce(distance, F.lit(0.0)) > floor + more * less)
     return found.withColumn("base_failed", base).withColumn("kept", ~base & ~(judged & far)).drop("ref_classes", "ref_common", "ref_words")
 
 
