@@ -2,7 +2,8 @@
 
 The lexicon is a trie. A Levenshtein automaton of every term, the trie's shared prefixes and the text's letters are followed
 together: a state is a set of (trie node, edits so far), sets are numbered as they come up, and a word is dropped at the first
-letter after which no term is within its budget. Digits and signs that stand for letters are read as those.
+letter after which no term is within its budget. Digits and signs that stand for letters are read as those. Besides terms the
+trie has stems, written with a star: any word that begins with one, without edits, is a hit.
 
 Each hit is judged in a window of its text: within quotation marks or near words that report speech it counts as quotation,
 else as abuse. A logistic model of the two kinds of exact and misspelled hits gives the score; its prior says what hits mean
@@ -12,6 +13,7 @@ where labels don't tell. Terms and weights are learned from a bounded sample of
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,13 +34,17 @@ _QUOTES = "\"“”„«»"
 WINDOW = 60
 #: Learned terms at most, the documents that must hold one, and how many times likelier it must be in toxic ones.
 MAX_TERMS, MIN_DOCS, MIN_LIFT = 200, 8, 20.0
+#: Least word hashes by which near copies are known in the sample.
+SKETCH = 8
+#: Letters of a stem.
+STEM = range(4, 9)
 #: Numbered states at most; beyond it they are numbered anew.
 MAX_STATES = 100_000
 
 
 def budget(term: str) -> int:
-    """Edits that a term tolerates."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Edits that a term tolerates; stems none."""
+    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 8 else 2
 
 
 class FuzzyLexicon:
@@ -47,19 +53,21 @@ class FuzzyLexicon:
     def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.room = [0]  # the largest budget of the terms below a node
         for t in sorted(set(terms)):
             at = 0
             self.room[0] = max(self.room[0], budget(t))
-            for ch in t:
+            for ch in t.rstrip("*"):
                 if ch not in self.children[at]:
                     self.children[at][ch] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.stem.append(None)
                     self.room.append(0)
                 at = self.children[at][ch]
                 self.room[at] = max(self.room[at], budget(t))
-            self.term[at] = t
+            (self.stem if t.endswith("*") else self.term)[at] = t
         self.letters = {ch for c in self.children for ch in c}
         self._restart()
 
@@ -68,6 +76,7 @@ class FuzzyLexicon:
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[int, str] | None] = []
+        self.stems: list[str | None] = []
         self.begin = self._number(self._closed({0: 0}))
 
     def _closed(self, least: dict[int, int]) -> frozenset:
@@ -91,6 +100,7 @@ class FuzzyLexicon:
             self.sets.append(state)
             self.steps.append({})
             self.ends.append(min(((e, self.term[n]) for n, e in state if self.term[n] is not None and e <= budget(self.term[n])), default=None))
+            self.stems.append(next((self.stem[n] for n, e in sorted(state) if e == 0 and self.stem[n] is not None), None))
         return self.numbers[state]
 
     def _step(self, number: int, ch: str) -> int:
@@ -109,7 +119,7 @@ class FuzzyLexicon:
     def find(self, word: str) -> tuple[int, str] | None:
         if len(self.sets) > MAX_STATES:
             self._restart()
-        at, steps = self.begin, self.steps
+        at, steps, stems, stem = self.begin, self.steps, self.stems, None
         for ch in word:
             nxt = steps[at].get(ch)
             if nxt is None:
@@ -118,9 +128,11 @@ class FuzzyLexicon:
                 if nxt is None:
                     nxt = steps[at][known] = self._step(at, known)
             if nxt < 0:
-                return None
+                return stem
             at = nxt
-        return self.ends[at]
+            if stems[at] is not None:
+                stem = (0, stems[at])
+        return self.ends[at] or stem
 
 
 def _plain(word: str) -> str:
@@ -153,17 +165,20 @@ def hits(text: str | None, lexicon: FuzzyLexicon) -> list[tuple[str, int, bool,
 
 
 def features(text: str | None, lexicon: FuzzyLexicon) -> list[float]:
-    """Damped numbers of exact abuse, misspelled abuse and quotation hits, and a constant."""
-    exact = fuzzy = quotes = 0
-    for _, edits, q, _, _ in hits(text, lexicon):
-        quotes += q
-        exact += not q and edits == 0
-        fuzzy += not q and edits > 0
-    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quotes)), 1.0]
+    """Damped numbers of exact abuse, misspelled abuse, quotation and stem hits, and a constant."""
+    exact = fuzzy = quotes = stems = 0
+    for term, edits, q, _, _ in hits(text, lexicon):
+        if term.endswith("*"):
+            stems += 1
+        else:
+            quotes += q
+            exact += not q and edits == 0
+            fuzzy += not q and edits > 0
+    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quotes)), float(np.log1p(stems)), 1.0]
 
 
 #: What hits mean before any label is seen: weights of the features.
-PRIOR = np.array([5.0, 4.0, 1.0, -3.0])
+PRIOR = np.array([5.0, 4.0, 1.0, 2.0, -3.0])
 
 
 @dataclass(frozen=True)
@@ -189,17 +204,32 @@ def _lexicon(terms: tuple[str, ...]) -> FuzzyLexicon:
 
 
 def learn_terms(texts: list[str | None], toxic: list[int]) -> list[str]:
-    """Words that are far likelier in toxic texts; copies count once."""
-    seen: set[str] = set()
+    """Words that are far likelier in toxic texts; copies and near copies count once, as their words aren't evidence of their own."""
+    sketches: dict[int, int] = {}  # the least hashes of a text's words -> the text they came from
     counts = (Counter(), Counter())
     totals = [0, 0]
-    for t, y in sorted(zip((t or "" for t in texts), toxic, strict=True)):
-        if t not in seen:
-            seen.add(t)
-            totals[y] += 1
-            counts[y].update({_plain(w) for w in set(_TOKEN.findall(t.lower())) if 4 <= len(w) <= 20})
+    for i, (t, y) in enumerate(sorted(zip((t or "" for t in texts), toxic, strict=True))):
+        words = {_plain(w) for w in set(_TOKEN.findall(t.lower())) if 4 <= len(w) <= 20}
+        sketch = sorted(zlib.crc32(w.encode()) for w in words)[:SKETCH]
+        shared = Counter(sketches[h] for h in sketch if h in sketches)
+        if shared and 2 * max(shared.values()) >= len(sketch):
+            continue
+        sketches.update((h, i) for h in sketch if h not in sketches)
+        totals[y] += 1
+        counts[y].update(words)
+        # A stem counts where a text has several words of it.
+        begun = Counter(w[:k] + "*" for w in words for k in STEM if len(w) > k)
+        counts[y].update(p for p, n in begun.items() if n > 1)
     lift = {w: (n / totals[1]) / ((counts[0][w] + 1) / max(1, totals[0])) for w, n in counts[1].items() if n >= MIN_DOCS}
-    return sorted((w for w, x in lift.items() if x >= MIN_LIFT), key=lambda w: (-lift[w], w))[:MAX_TERMS]
+    found: list[str] = []
+    # The shortest stems first: words and stems that begin with a stem add nothing to it.
+    for w in sorted((w for w, x in lift.items() if x >= MIN_LIFT), key=lambda w: (not w.endswith("*"), len(w), w)):
+        if not any(s.endswith("*") and w.startswith(s[:-1]) for s in found):
+            found.append(w)
+    # A stem that stands for one word is that word.
+    whole = {s: max((w for w in lift if not w.endswith("*") and w.startswith(s[:-1])), key=lambda w: (counts[1][w], w), default="") for s in found if s.endswith("*")}
+    found = [whole[s] if s in whole and whole[s] and counts[1][whole[s]] >= counts[1][s] and counts[0][whole[s]] <= counts[0][s] else s for s in found]
+    return sorted(set(found), key=lambda w: (-lift[w], w))[:MAX_TERMS]
 
 
 def fit(texts: list[str | None], toxic: list[int], strength: float = 2.0) -> ToxicityModel:
@@ -216,7 +246,7 @@ def fit(texts: list[str | None], toxic: list[int], strength: float = 2.0) -> Tox
             w = w + np.clip(step, -1, 1)
             if np.abs(step).max() < 1e-6:
                 break
-        w[:3] = np.maximum(w[:3], 0.0)
+        w[:4] = np.maximum(w[:4], 0.0)
     return ToxicityModel(terms, tuple(float(v) for v in w))
 
 
