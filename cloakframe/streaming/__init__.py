@@ -1,0 +1 @@
+"""No operator of this engine is a stream: inputs are closed files, and maps need a commit for each job."""
