@@ -79,13 +79,15 @@ def references(feats: DataFrame) -> DataFrame:
 
 
 def js_distance(p: str, q: str) -> Column:
-    """Jensen-Shannon distance, base 2, of two count arrays of one length; null where either is all zero."""
+    """Jensen-Shannon distance, base 2, of two count arrays of one length; null where either is all zero.
+
+    Sums are bound once; the mixture's terms come from one pass over both arrays.
+    """
     return F.expr(f"""
-        case when aggregate({p}, 0D, (a, x) -> a + x) > 0 and aggregate({q}, 0D, (a, x) -> a + x) > 0 then
-        sqrt(greatest(0D, aggregate(zip_with(
-            transform({p}, x -> x / aggregate({p}, 0D, (a, y) -> a + y)),
-            transform({q}, x -> x / aggregate({q}, 0D, (a, y) -> a + y)),
-            (x, y) -> if(x > 0, x * log2(2 * x / (x + y)), 0D) + if(y > 0, y * log2(2 * y / (x + y)), 0D)), 0D, (a, x) -> a + x) / 2)) end""")
+        transform(array(named_struct('p', aggregate({p}, 0D, (a, x) -> a + x), 'q', aggregate({q}, 0D, (a, x) -> a + x))), t ->
+            if(t.p > 0 and t.q > 0, sqrt(greatest(0D, aggregate(
+                zip_with({p}, {q}, (u, v) -> named_struct('x', u / t.p, 'y', v / t.q)), 0D,
+                (a, s) -> a + if(s.x > 0, s.x * log2(2 * s.x / (s.x + s.y)), 0D) + if(s.y > 0, s.y * log2(2 * s.y / (s.x + s.y)), 0D)) / 2)), cast(null as double)))[0]""")
 
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: tuple[float, float] = MAX_CLASS_DISTANCE, max_common: tuple[float, float] = MAX_COMMON_DISTANCE) -> DataFrame:
