@@ -11,6 +11,7 @@ import secrets
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.tables import store
 from ..types import KeySpaceExhaustedError
@@ -21,7 +22,7 @@ LENGTH = 9
 ATTEMPTS = 10_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _random(prefix: pd.Series) -> pd.Series:
     return prefix.map(lambda p: f"{p}_" + "".join(secrets.choice(ALPHABET) for _ in range(LENGTH)))
 

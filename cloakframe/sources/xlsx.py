@@ -389,6 +389,8 @@ def new_package(sheets: dict[str, list[list]], states: dict[str, str] | None = N
         for r, values in enumerate(rows, 1):
             row = ET.SubElement(data, tag("row"), {"r": str(r)})
             for k, v in enumerate(values, 1):
+                if v is None:
+                    continue
                 c = ET.SubElement(row, tag("c"), {"r": reference(r, k)})
                 if isinstance(v, str) and v.startswith("="):
                     ET.SubElement(c, tag("f")).text = v[1:]
