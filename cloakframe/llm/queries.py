@@ -114,5 +114,94 @@ def queries():
     return {f.__name__: f for f in (op1_mix_sources, op2_quality_divergence, op3_simhash_trie, op4_language_centroids, op5_token_records, op6_spotsigs, op7_chat_format, op8_toxicity, op9_best_fit_packing, op10_secret_scan, pipeline)}
 
 
+#: The mix as SQL: targets by resharing over the sources in the order in which they run dry.
+OP1_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as k from documents),
+s as (select source, sum(size) as n, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from d group by source),
+o as (select *, 2.0 * n / w as dry, coalesce(sum(2 * n) over (order by n / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
+        sum(w) over (order by n / w, source nulls last rows between current row and unbounded following) as weights, 1.5 * sum(n) over () as total from s),
+c as (select *, first_value(case when (total - before) / weights <= dry then (total - before) / weights end ignore nulls) over (order by n / w, source nulls last rows between unbounded preceding and unbounded following) as cut from o),
+t as (select source, cast(n as bigint) as source_size, coalesce(least(2.0 * n, w * cut), 2.0 * n) as target from c),
+p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target) as goal, sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as first
+        from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, cast(target as double) as target,
+    cast(greatest(0, least(size, goal - first)) + greatest(0, least(size, goal - first - source_size)) as bigint) as taken from p"""
+
+#: Chats as SQL: what is read back is what went in, and the format adds its marks and escapes.
+OP7_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 23 as n,
+        lag(role, 1, 'start') over (partition by conv_id order by turn nulls first, role, text) as before from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(n) as bigint) as formatted_chars,
+    bool_and((role = 'system' and before = 'start') or (role = 'user' and before in ('start', 'system', 'assistant')) or (role = 'assistant' and before = 'user'))
+        and max_by(role, (turn, role, text)) in ('assistant', 'user') as valid
+from e group by conv_id"""
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def op2_sql() -> str:
+    """Base counts by windows over words, histograms by regular expressions, the divergence by list arithmetic."""
+    classes = ", ".join(f"len(regexp_replace(t, {_quote('[^' + c[1:-2].removeprefix('^') + ']' if not c.startswith('[^') else '[' + c[2:-2] + ']')}, '', 'g'))" for c in quality.CLASSES)
+    words = ", ".join(map(_quote, quality.VOCABULARY))
+    n_classes, n_words = len(quality.CLASSES) + 1, len(quality.VOCABULARY) + 1
+
+    def total(h: str, n: int) -> str:
+        return ", ".join(f"sum({h}[{i}])" for i in range(1, n + 1))
+
+    def distance(p: str, q: str, n: int) -> str:
+        x, y = f"({p}[i] / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+        term = "case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0.0 end"
+        return f"case when list_sum({p}) > 0 and list_sum({q}) > 0 then sqrt(greatest(0.0, list_sum(list_transform(range(1, {n + 1}), lambda i: {term.format(a=x, b=y)} + {term.format(a=y, b=x)})) / 2)) end"
+
+    def limit(pair: tuple[float, float]) -> str:
+        return f"({pair[0]} + {pair[1]} / sqrt(greatest(n_words, 1)))"
+
+    return rf"""
+with d as (select row_number() over () as id, doc_id, lang, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, regexp_extract_all(lower(t), '\p{{L}}+') as low from d),
+g as (select id, unnest(range(1, len(w) - 3)) as i, w from w where len(w) > 4),
+h as (select id, i, array_to_string(w[i:i + 4], ' ') as gram from g),
+r as (select id, i from (select *, count(*) over (partition by id, gram) as n from h) where n > 1),
+c as (select id, count(distinct i + j) as n from r, range(5) as x(j) group by id),
+f as (select w.id, doc_id, lang, cast(len(w) as bigint) as n_words, cast(len(array_to_string(w, '')) as bigint) as word_chars, cast(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words,
+        [{classes}] as c0, list_transform([{words}], lambda v: len(list_filter(low, lambda x: x = v))) as v0, len(t) as n_chars, len(low) as n_low from w left join c on w.id = c.id),
+e as (select *, list_append(c0, n_chars - coalesce(list_sum(c0), 0)) as c, list_append(v0, n_low - coalesce(list_sum(v0), 0)) as v from f),
+refs as (select lang, sum(n_words) as ref_words, [{total('c', n_classes)}] as rc, [{total('v', n_words)}] as rv from e group by lang),
+j as (select e.*, ref_words, {distance('c', 'rc', n_classes)} as class_distance, {distance('v', 'rv', n_words)} as common_distance from e join refs on e.lang is not distinct from refs.lang),
+k as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from j)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and not (n_words >= {quality.MIN_WORDS} and ref_words >= {quality.MIN_REFERENCE_WORDS}
+        and (coalesce(class_distance, 0) > {limit(quality.MAX_CLASS_DISTANCE)} or coalesce(common_distance, 0) > {limit(quality.MAX_COMMON_DISTANCE)})) as kept from k"""
+
+
+def op10_sql() -> str:
+    """All rules on all texts, without an index; places from the lengths of matches and of what lies between them."""
+    parts = []
+    for place, r in enumerate(secret_scan.RULES):
+        p = _quote(r.pattern.replace(r"\x20", " "))
+        parts.append(f"""
+select id, {place} as place, {_quote(r.kind)} as kind, starts[i] as s, starts[i] + len(found[i]) as e from (
+    select *, list_transform(range(1, len(found) + 1), lambda i: cast(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) as bigint)) as starts, unnest(range(1, len(found) + 1)) as i from (
+        select id, string_split_regex(t, {p}) as gaps, regexp_extract_all(t, {p}) as found, regexp_extract_all(t, {p}, {r.group}) as part from d))
+where len(part[i]) >= {r.least}""")
+    base = ", ".join(_quote(r.kind) for r in secret_scan.BASE)
+    text = "kind || ':' || s || ':' || e"
+    counts = ", ".join(f"count(*) filter (kind = {_quote(r.kind)}) as n_{r.kind}" for r in secret_scan.BASE)
+    return f"""
+with d as (select row_number() over () as id, doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)})
+select any_value(doc_id) as doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' order by s, place) filter (kind in ({base})), '')) as base_sha256,
+    coalesce(string_agg({text}, ',' order by s, place) filter (kind is not null), '') as spans
+from d left join m using (id) group by id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1_SQL, "op2_quality_divergence": op2_sql(), "op7_chat_format": OP7_SQL, "op10_secret_scan": op10_sql()}
