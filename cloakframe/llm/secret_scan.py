@@ -64,7 +64,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
         need = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in alternatives]
         if all(need) and (best is None or min(map(len, need)) > min(map(len, best))):
             best = need
-    return None if best is None else list(dict.fromkeys(best))
+    # An alternative that asks for more than another adds nothing.
+    return None if best is None else [n for n in dict.fromkeys(best) if not any(m < n for m in best)]
 
 
 def _runs(parts) -> list[set[str]]:
