@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, split_words
+from .common import SPACE, durable, let, split_words
 
 #: Words below which no divergence is judged.
 MIN_WORDS = 50
@@ -32,6 +32,10 @@ COMMON_WORDS = {
 VOCABULARY = sorted(set().union(*COMMON_WORDS.values()))
 #: Character classes, taken off in this order; what is left is the class of all others.
 CLASSES = ["[a-z]+", SPACE + "+", "[A-Z]+", "[0-9]+", r"[^\x00-\x7F]+", "[#*$%&|<>]+", r"[.,;:!?'\"()\[\]{}\-_/]+"]
+#: Where white space and symbols stand among the classes.
+SPACES, SYMBOLS = 1, 5
+#: Words of a window.
+WINDOW = 5
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -42,16 +46,28 @@ def features(docs: DataFrame) -> DataFrame:
     t = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     t = t.withColumn("w", split_words(F.col("t")))
     t = t.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    # Each word is hashed once; a window of five words is the hash of its words' hashes.
+    # Each word is hashed once; a window of five words is the hash of its words' hashes, taken in step.
     t = t.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-    t = t.withColumn("g", F.expr("if(size(h) < 5, array(), transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])))"))
+    window = "slice(h, 1, greatest(0, size(h) - 4))"
+    for k in range(1, WINDOW):
+        window = f"zip_with({window}, slice(h, {k + 1}, greatest(0, size(h) - 4)), (a, b) -> xxhash64(a, b))"
+    t = t.withColumn("g", F.expr(window))
     # Windows found again lie side by side once sorted; only texts that have any are sorted with positions.
     t = t.withColumn("s", F.expr("if(size(array_distinct(g)) = size(g), cast(array() as array<struct<h: bigint, p: int>>), sort_array(transform(g, (x, i) -> named_struct('h', x, 'p', i))))"))
     t = t.withColumn("p", F.expr("sort_array(transform(filter(s, (x, i) -> coalesce(get(s, i - 1).h = x.h, false) or coalesce(get(s, i + 1).h = x.h, false)), x -> x.p))"))
-    t = t.withColumn("letters", F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}]+", " "), " "))
-    t = t.withColumn("n_lower", F.size(F.filter("letters", lambda x: x != "")))
-    t = t.withColumn("hits", F.concat(F.lit(" "), F.array_join(F.filter("letters", lambda x: x.isin(VOCABULARY)), "  "), F.lit(" ")))
-    common = [((F.length("hits") - F.length(F.replace(F.col("hits"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in VOCABULARY]
+    t = t.withColumn("letters", F.split(F.lower("t"), r"[^\p{L}]+"))
+    # Only a text's first and last piece can be empty.
+    ends = F.when(F.element_at("letters", 1) == "", 1).otherwise(0) + F.when((F.element_at("letters", -1) == "") & (F.size("letters") > 1), 1).otherwise(0)
+    t = t.withColumn("n_lower", (F.size("letters") - ends).cast("long"))
+    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
+
+    def histogram(m: Column) -> Column:
+        """Counts of the vocabulary's words among the words ``m``; only those that occur are looked for in the joined text."""
+        both = F.struct(F.array_distinct(m).alias("there"), F.concat(F.lit(" "), F.array_join(m, "  "), F.lit(" ")).alias("joined"))
+        gone = lambda x, v: F.length(x) - F.length(F.replace(x, F.concat(F.lit(" "), v, F.lit(" ")), F.lit("")))
+        return let(both, lambda x: F.transform(vocabulary, lambda v: F.when(F.array_contains(x["there"], v), (gone(x["joined"], v) / (F.length(v) + 2)).cast("long")).otherwise(F.lit(0).cast("long"))))
+
+    t = t.withColumn("common", let(F.filter("letters", lambda x: x.isin(VOCABULARY)), histogram))
     for i, c in enumerate(CLASSES):
         t = t.withColumn(f"r{i}", F.regexp_replace("t" if i == 0 else f"r{i - 1}", c, ""))
     lengths = [F.length("t"), *(F.length(f"r{i}") for i in range(len(CLASSES)))]
@@ -60,22 +76,27 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (lengths[0] - classes[SPACES]).cast("long").alias("word_chars"),
+        classes[SYMBOLS].cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("aggregate(transform(p, (x, i) -> least(5, coalesce(get(p, i + 1), x + 5) - x)), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
         F.array(*[c.cast("long") for c in classes]).alias("classes"),
-        F.array(*common).alias("common"),
-        "n_lower",
-    ).withColumn("common", F.concat("common", F.array(F.col("n_lower").cast("long") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)))).drop("n_lower")
+        F.concat("common", F.array(F.col("n_lower") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))).alias("common"),
+    )
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """Histograms of each language over all documents: lang, ref_classes, ref_common, ref_words. One row a language; null lang is one too."""
-    n, k = len(CLASSES) + 1, len(VOCABULARY) + 1
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(k)]
-    totals = feats.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *sums)
-    return totals.select("lang", "ref_words", F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(k)]).alias("ref_common"))
+    """Histograms of each language over all documents: lang, ref_classes, ref_common, ref_words. One row a language; null lang is one too.
+
+    Bins are summed as rows of (language, histogram, bin): a few hundred sums a language, partly summed before they are dealt out.
+    """
+    words = feats.groupBy("lang").agg(F.sum("n_words").alias("ref_words"))
+    bins = None
+    for name in ("classes", "common"):
+        one = feats.select("lang", F.lit(name).alias("name"), F.posexplode(name).alias("bin", "n")).groupBy("lang", "name", "bin").agg(F.sum("n").alias("n"))
+        bins = one if bins is None else bins.unionByName(one)
+    folded = bins.groupBy("lang").agg(*[F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("bin", "n"))))["n"].alias(f"ref_{n}") for n in ("classes", "common")])
+    return words.join(folded, words["lang"].eqNullSafe(folded["lang"])).select(words["lang"], "ref_words", "ref_classes", "ref_common")
 
 
 def js_distance(p: str, q: str) -> Column:
