@@ -131,7 +131,7 @@ def project(sheet: Sheet, entity_map: DataFrame, identifier_map: DataFrame | Non
     for i, (c, _) in enumerate(columns, 1):
         action = sheet.rules[i].action.value
         chosen.append((F.lit(None).cast(sheet.table.schema[c].dataType) if action == "remove" else F.col(c) if action == "keep" else made[i]).alias(c))
-    return out.select("row", *chosen)
+    return out.select("row", *chosen, *[c for c in sheet.table.columns if c.endswith(guards.KIND)])
 
 
 def provenance_of(sheet: Sheet, projected: DataFrame, job_id: str) -> DataFrame | None:
@@ -140,7 +140,12 @@ def provenance_of(sheet: Sheet, projected: DataFrame, job_id: str) -> DataFrame
     if not wanted:
         return None
     kinds = dict(sheet.table.dtypes)
-    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("token"), F.lit("string" if kinds[c] == "string" else "integer").alias("representation")) for i, c, _ in wanted])
+
+    def representation(c: str) -> Column:
+        kind = guards.kind_column(sheet.table, c)
+        return F.lit("string" if kinds[c] == "string" else "integer") if kind is None else F.when(kind == "int", "integer").otherwise("string")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("token"), representation(c).alias("representation")) for i, c, _ in wanted])
     rows = projected.select(F.col("row").cast("int").alias("row"), F.explode(cells).alias("x")).where(~is_blank(F.col("x.token")))
     return rows.select(F.lit(job_id).alias("job_id"), F.lit(sheet.name).alias("sheet_name"), "row", F.col("x.column"), F.col("x.token"), F.col("x.representation"))
 

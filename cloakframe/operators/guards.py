@@ -17,27 +17,38 @@ from ..types import ENTITY_FIELDS, EntityValueError, FieldRule, FormulaError, Id
 REASONS = {"formula": FormulaError, "not_text": EntityValueError, "invalid": IdentifierValueError}
 
 
-def cell_reason(c: Column, kind: str, field_type: str) -> Column:
+#: A column of mixed cells holds their texts; its companion, named with this ending, holds the cells' kinds (str, int or other).
+KIND = "_kind"
+
+
+def cell_reason(c: Column, kind: str, field_type: str, cell_kind: Column | None = None) -> Column:
     """Why a cell can't be pseudonymized, or null: blank cells pass, then formulas, then the type or the validator decides."""
-    formula = is_formula(c) if kind == "string" else F.lit(False)
+    text = F.lit(kind == "string") if cell_kind is None else cell_kind == "str"
+    seen = candidate(c, kind) if cell_kind is None else F.when(cell_kind == "str", candidate(c, "string")).when(cell_kind == "int", c)
+    formula = is_formula(c) & text if kind == "string" else F.lit(False)
     if field_type in ENTITY_FIELDS:
-        bad, reason = F.lit(kind != "string"), "not_text"
+        bad, reason = ~text, "not_text"
     else:
-        bad, reason = ~F.coalesce(VALIDATORS[field_type](candidate(c, kind)), F.lit(False)), "invalid"
+        bad, reason = ~F.coalesce(VALIDATORS[field_type](seen), F.lit(False)), "invalid"
     return F.when(is_blank(c), None).when(formula, "formula").when(bad, reason)
 
 
+def kind_column(table: DataFrame, c: str) -> Column | None:
+    return F.col(c + KIND) if c + KIND in table.columns else None
+
+
 def violations(table: DataFrame, rules: dict[int, FieldRule], row: str = "row") -> DataFrame:
     """(row, column, reason) of every cell that stops the job; ``row`` names the row number's column."""
     cells = data_columns(table, row)
-    found = [F.struct(F.lit(i).alias("column"), cell_reason(F.col(c), kind, rules[i].field_type.value).alias("reason")) for i, (c, kind) in enumerate(cells, 1) if rules[i].action.value == "pseudonymize"]
+    found = [F.struct(F.lit(i).alias("column"), cell_reason(F.col(c), kind, rules[i].field_type.value, kind_column(table, c)).alias("reason")) for i, (c, kind) in enumerate(cells, 1) if rules[i].action.value == "pseudonymize"]
     if not found:
         return table.sparkSession.createDataFrame([], "row long, column int, reason string")
     return table.select(F.col(row).cast("long").alias("row"), F.explode(F.filter(F.array(*found), lambda s: s["reason"].isNotNull())).alias("v")).select("row", "v.column", "v.reason")
 
 
 def data_columns(table: DataFrame, row: str = "row") -> list[tuple[str, str]]:
-    return [(c, k) for c, k in table.dtypes if c != row]
+    """Columns of cells with their types, companions left out."""
+    return [(c, k) for c, k in table.dtypes if c != row and not c.endswith(KIND)]
 
 
 def first_violation(found: DataFrame) -> DataFrame:

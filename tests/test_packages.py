@@ -7,7 +7,7 @@ from cloakframe.operators import inspect, maps, scrub
 from cloakframe.plans import jobs
 from cloakframe.sources import container, manifest
 from cloakframe.sources.xlsx import JOB_ID, Package, XlsxSource, new_package, publish, reference, split_reference, with_property, with_values
-from cloakframe.types import Action, ColumnSafetyError, CryptoError, FieldRule, FieldType, JobValidationError, PackageError, RestoreValidationError, WorkspaceError, WriterValidationError
+from cloakframe.types import Action, ColumnSafetyError, CryptoError, FieldRule, FieldType, IdentifierValueError, JobValidationError, PackageError, RestoreValidationError, WorkspaceError, WriterValidationError
 
 
 def rule(name, kind, action):
@@ -79,6 +79,22 @@ def test_anonymize_and_restore_workbooks(spark, tmp_path):
         jobs.anonymize_workbooks(spark, [jobs.Item(a, a, RULES)], e)
 
 
+def test_columns_of_mixed_cells(spark, tmp_path):
+    a, b, c = (str(tmp_path / n) for n in ("a.xlsx", "b.xlsx", "c.xlsx"))
+    rows = [["ИНН", "Сумма"], ["7707083893", 1], [500100732259, "x"], [None, 2.5], [" ", None], [7707083893, True]]
+    publish(new_package({"Data": rows}).save(), a)
+    e, i = maps.empty(spark, maps.ENTITY_MAP), maps.empty(spark, maps.IDENTIFIER_MAP)
+    rules = {"Data": {1: rule("ИНН", "inn", "pseudonymize"), 2: rule("Сумма", "financial", "keep")}}
+    done = jobs.anonymize_workbook(spark, a, b, rules, e, identifier_map=i)
+    assert done.identifier_map.count() == 2 and sorted((r.row, r.representation) for r in done.provenance.collect()) == [(2, "string"), (3, "integer"), (6, "integer")]
+    jobs.restore_workbook(spark, b, c, done.provenance, done.entity_map, done.identifier_map)
+    kinds = lambda p: [(x["row"], x["column"], x["kind"], x["s"], x["i"], x["d"], x["b"]) for x in load(p).cells() if x["kind"] != "null"]
+    assert kinds(c) == kinds(a)
+    publish(new_package({"Data": [["ИНН", "Сумма"], ["7707083893", 1], [2.5, 1]]}).save(), str(tmp_path / "d.xlsx"))
+    with pytest.raises(IdentifierValueError):
+        jobs.anonymize_workbook(spark, str(tmp_path / "d.xlsx"), b, rules, e, identifier_map=i)
+
+
 def test_gate_before_a_job(spark, tmp_path):
     a = str(tmp_path / "a.xlsx")
     publish(new_package({"Data": [*ROWS, ["x", None, 770701001]], "Notes": [["n"]]}).save(), a)
