@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_name, durable
@@ -23,6 +23,8 @@ from .components import connected_components
 BITS = 64
 #: Distinct fingerprints that a group holds on average, at most; beyond it more blocks have to agree.
 GROUP = 512
+#: Fingerprints beyond which a group is dealt out once more.
+HOT = 20_000
 #: Node pairs that a task holds at once.
 FRONTIER = 1_000_000
 #: Fingerprints of whole groups that a task joins at once.
@@ -142,7 +144,36 @@ def block_masks(budget: int, kept: int) -> list[int]:
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in (sum(c) for c in combinations(blocks, kept))]
 
 
-def link_fingerprints(fps: DataFrame, budget: int = 3) -> DataFrame:
+def _masks_column(masks: list[int]) -> Column:
+    return F.array(*[F.struct(F.lit(i).cast("long").alias("block"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(masks)])
+
+
+def _split_masks(mask: int, budget: int) -> list[int]:
+    """The mask's bits together with each of ``budget + 1`` blocks of the other bits."""
+    other = [b for b in range(BITS) if not (mask % (1 << BITS)) >> b & 1]
+    cuts = [len(other) * i // (budget + 1) for i in range(budget + 2)]
+    wider = [mask % (1 << BITS) | sum(1 << b for b in other[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in wider]
+
+
+def deal(fps: DataFrame, budget: int, kept: int, hot: int = HOT) -> DataFrame:
+    """Distinct fp longs -> (fp, block, bits): the groups in which any two within ``budget`` bits meet.
+
+    A group of more than ``hot`` fingerprints is dealt once more by blocks of the bits that it doesn't share, so it becomes
+    many groups that share more; near ones still meet, since they differ in ``budget`` bits at most.
+    """
+    masks = block_masks(budget, kept)
+    dealt = fps.select("fp", F.explode(_masks_column(masks)).alias("g")).select("fp", F.col("g.block").alias("block"), F.col("fp").bitwiseAND(F.col("g.mask")).alias("bits"))
+    large = durable(dealt.groupBy("block", "bits").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("block", "bits"), "large")
+    if large.isEmpty():
+        return dealt
+    wider = F.create_map(*[x for i, m in enumerate(masks) for x in (F.lit(i).cast("long"), F.array(*[F.lit(w).cast("long") for w in _split_masks(m, budget)]))])
+    again = dealt.join(large, ["block", "bits"], "left_semi").select("fp", "block", F.posexplode(wider[F.col("block")]).alias("k", "mask"))
+    again = again.select("fp", (F.col("block") + len(masks) * (F.col("k") + 1)).alias("block"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
+    return dealt.join(large, ["block", "bits"], "left_anti").select("fp", "block", "bits").unionByName(again)
+
+
+def link_fingerprints(fps: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:
     """Distinct fp longs -> (node, root) of those with another within ``budget`` bits; root is the least fp reachable.
 
     How many blocks have to agree follows the number of fingerprints, which keeps groups small; every choice finds the same links.
@@ -150,9 +181,7 @@ def link_fingerprints(fps: DataFrame, budget: int = 3) -> DataFrame:
     n, kept = fps.count(), 1
     while kept < 4 and n / 2 ** (BITS * kept / (budget + kept)) > GROUP:
         kept += 1
-    groups = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(block_masks(budget, kept))])
-    dealt = fps.select("fp", F.explode(groups).alias("g")).select("fp", F.col("g.block").cast("long").alias("block"), F.col("g.bits").alias("bits"))
-    stars = dealt.repartition("block", "bits").sortWithinPartitions("block", "bits", "fp").mapInArrow(_stars(budget), "u long, v long")
+    stars = deal(fps, budget, kept, hot).repartition("block", "bits").sortWithinPartitions("block", "bits", "fp").mapInArrow(_stars(budget), "u long, v long")
     return connected_components(stars)
 
 
@@ -182,9 +211,6 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     own = docs.columns
     found = near_duplicates(docs, **options)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    from pyspark.sql import Window
-
     n = column_name(docs, "_n")
     numbered = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    first = numbered.where(F.col(n) == 1).select(*own)
-    return first
+    return numbered.where(F.col(n) == 1).select(*own)

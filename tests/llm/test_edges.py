@@ -113,6 +113,21 @@ def test_blocks_find_every_link(spark, kept):
     assert found == want
 
 
+def test_hot_groups_are_dealt_again(spark):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 2**62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 9), replace=False)) for _ in range(300)})
+    root = {f: f for f in fps}
+    for _ in fps:
+        for a in fps:
+            root[a] = min(root[b] for b in fps if (a ^ b).bit_count() <= 3)
+    want = {f: r for f, r in root.items() if sum(x == r for x in root.values()) > 1}
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for hot in (5, 10**6):
+        assert {r["node"]: r["root"] for r in simhash.link_fingerprints(table, hot=hot).collect()} == want
+    assert simhash.deal(table, 3, 1, 5).groupBy("block", "bits").count().agg(F.max("count")).first()[0] < simhash.deal(table, 3, 1).groupBy("block", "bits").count().agg(F.max("count")).first()[0]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(i, i + 1) for i in range(200, 260)] + [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(300, 300)]
