@@ -92,7 +92,7 @@ def extend_entity_map(entity_map: DataFrame, sheets: list[Sheet], **options) ->
     prefix = F.create_map(*[F.lit(x) for kv in ALIAS_PREFIX.items() for x in kv])[F.col("type")]
     keyed = with_keys(new, entity_map.select("alias"), prefix, "alias", **options)
     rows = keyed.select("alias", F.col("value").alias("real_value"), F.col("type").alias("entity_type"), F.lit(None).cast("string").alias("parent_alias"), F.col("first").alias("_first"))
-    return maps.append(entity_map, rows, "entity", [F.col("_first")])
+    return maps.append(entity_map, rows, "entity", [F.col("_first")], stored=True)
 
 
 def extend_identifier_map(identifier_map: DataFrame, sheets: list[Sheet], **options) -> DataFrame:
@@ -105,7 +105,7 @@ def extend_identifier_map(identifier_map: DataFrame, sheets: list[Sheet], **opti
     prefix = F.create_map(*[F.lit(x) for kv in TOKEN_PREFIX.items() for x in kv])[F.col("type")]
     keyed = with_keys(new, identifier_map.select("token"), prefix, "token", **options)
     rows = keyed.select("token", F.col("value").alias("identifier_value"), F.col("type").alias("identifier_type"), F.col("first").alias("_first"))
-    return maps.append(identifier_map, rows, "identifier", [F.col("_first")])
+    return maps.append(identifier_map, rows, "identifier", [F.col("_first")], stored=True)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

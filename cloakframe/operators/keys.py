@@ -39,14 +39,16 @@ def with_keys(new: DataFrame, taken: DataFrame, prefix, key: str, make=random_ke
     done = None
     todo = store(new.withColumn("_prefix", prefix).withColumn(key, make(F.col("_prefix"))), "keys")
     for _ in range(attempts):
-        # Of equal new keys the row with the least contents keeps it.
-        rest = [c for c in todo.columns if c != key]
-        keepers = todo.groupBy(key).agg(F.min(F.struct(*rest)).alias("_kept"))
         held = taken.select(key) if done is None else taken.select(key).union(done.select(key))
-        free = keepers.join(held.withColumn("_held", F.lit(True)).distinct(), key, "left").where("_held is null").select("_kept.*", key)
-        done = store(free if done is None else done.unionByName(free), "keys")
-        left = todo.join(done.select(*[F.col(c).alias(f"d_{c}") for c in rest]), [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in rest], "left_anti")
-        if left.isEmpty():
-            return done.drop("_prefix")
+        # Keys that came up twice, or that are in use; nearly always there are none, and then nothing is written again.
+        clash = todo.groupBy(key).count().where("count > 1").select(key).union(todo.join(held, key, "left_semi").select(key)).distinct()
+        if clash.isEmpty():
+            return (todo if done is None else done.unionByName(todo)).drop("_prefix")
+        rest = [c for c in todo.columns if c != key]
+        # Of equal new keys the row with the least contents keeps it.
+        keepers = todo.groupBy(key).agg(F.min(F.struct(*rest)).alias("_kept")).join(held, key, "left_anti").select("_kept.*", key)
+        done = store(keepers if done is None else done.unionByName(keepers), "keys")
+        old = done.select(*[F.col(c).alias(f"d_{c}") for c in rest])
+        left = todo.join(old, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in rest], "left_anti")
         todo = store(left.withColumn(key, make(F.col("_prefix"))), "keys")
     raise KeySpaceExhaustedError("key_space_exhausted")

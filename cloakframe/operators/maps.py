@@ -40,10 +40,13 @@ def conflicts(additions: DataFrame, existing: DataFrame, shape: str) -> DataFram
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
-def append(existing: DataFrame, additions: DataFrame, shape: str, order: list[Column] | None = None) -> DataFrame:
-    """The map with the additions that it doesn't hold yet, numbered in ``order``; raises on any conflict, and then nothing is added."""
+def append(existing: DataFrame, additions: DataFrame, shape: str, order: list[Column] | None = None, stored: bool = False) -> DataFrame:
+    """The map with the additions that it doesn't hold yet, numbered in ``order``; raises on any conflict, and then nothing is added.
+
+    ``stored`` says that the additions are distinct and have one state already.
+    """
     keys, identity, error = SHAPES[shape]
-    additions = store(additions.distinct() if order is None else additions, "additions")
+    additions = additions if stored else store(additions.distinct() if order is None else additions, "additions")
     for c in conflicts(additions, existing, shape).where("n > 0").collect():
         raise error("conflict", side=c["side"], count=c["n"])
     both = [*keys, *identity]
@@ -51,24 +54,50 @@ def append(existing: DataFrame, additions: DataFrame, shape: str, order: list[Co
     fresh = additions.join(old, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in both], "left_anti")
     if shape == "provenance":
         return store(existing.unionByName(fresh.select(*existing.columns).distinct()), "provenance")
-    if fresh.isEmpty():
-        return existing
     last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
     fresh = number(fresh.select(*both, *(["_first"] if "_first" in fresh.columns else [])), order or [F.col(c) for c in keys], last)
-    return store(existing.unionByName(fresh.select(*existing.columns)), f"{shape}-map")
+    return existing if fresh is None else store(existing.unionByName(fresh.select(*existing.columns)), f"{shape}-map")
 
 
-def number(rows: DataFrame, order: list[Column], after: int) -> DataFrame:
-    """``rows`` with ``seq`` from ``after`` + 1 on in the given order: range-sorted, numbered within partitions, with counts before."""
+def number(rows: DataFrame, order: list[Column], after: int) -> DataFrame | None:
+    """``rows`` with ``seq`` from ``after`` + 1 on in the given order: range-sorted, numbered within partitions, with counts before. None if there are none."""
     placed = store(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()), "numbering")
     within = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_in")))
     before, base = {}, after
     for r in sorted(placed.groupBy("_part").count().collect()):
         before[r["_part"]], base = base, base + r["count"]
+    if not before:
+        return None
     start = F.create_map(*[F.lit(x) for p in before for x in (p, before[p])])[F.col("_part")]
     return within.withColumn("seq", (start + F.col("_n")).cast("long")).drop("_part", "_in", "_n")
 
 
+def ordered(entries: DataFrame) -> DataFrame:
+    """Entries in order: maps by insertion, provenance by coordinate."""
+    return entries.orderBy("seq") if "seq" in entries.columns else entries.orderBy("sheet_name", "row", "column")
+
+
+def contains(entries: DataFrame, key: str, value: str) -> bool:
+    """Whether an alias or token is in use."""
+    return not entries.where(F.col(key) == F.lit(value)).limit(1).isEmpty()
+
+
+def at_coordinate(provenance: DataFrame, sheet_name: str, row: int, column: int) -> DataFrame:
+    """The entry of one cell, if it has one."""
+    return provenance.where((F.col("sheet_name") == F.lit(sheet_name)) & (F.col("row") == row) & (F.col("column") == column))
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    """An empty table of the same shape; a provenance's job stays with its folder."""
+    return entries.sparkSession.createDataFrame([], entries.schema)
+
+
+def lookup_token(identifier_map: DataFrame, identifier_type: str, value: str) -> str | None:
+    """The token of an identifier."""
+    found = identifier_map.where((F.col("identifier_type") == identifier_type) & (F.col("identifier_value") == F.lit(value))).select("token").limit(1).collect()
+    return found[0]["token"] if found else None
+
+
 def lookup_alias(entity_map: DataFrame, real_value: str, entity_type: str | None = None, parent_alias=UNSET) -> str | None:
     """The alias of a value; what isn't given isn't asked for, and several answers are an error."""
     found = entity_map.where(F.col("real_value") == F.lit(real_value))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import manifest as mf
 from ..sources.manifest import Artifact, Manifest, StoreState
+from ..sources.xlsx import publish
 from ..types import WorkspaceError
 from . import maps, registry
 
@@ -190,6 +191,24 @@ class Workspace:
         i = secrets.token_hex(16)
         return i, self.artifact_path(i)
 
+    def allocate_provenance(self) -> tuple[str, str]:
+        """A fresh provenance id and where its file goes."""
+        i = secrets.token_hex(16)
+        return i, self.provenance_path(i)
+
+    def stage(self, source: str) -> tuple[str, str]:
+        """Copy a file to a fresh artifact's place, to be registered there."""
+        i, path = self.allocate()
+        with open(source, "rb") as f:
+            publish(f.read(), path, replace=False)
+        return i, path
+
+    @contextmanager
+    def stores(self):
+        """Both maps for reading, while nothing else can change them."""
+        with locked(self.folder):
+            yield Stores(self.read("mapping"), self.read("identifier"))
+
     def register(self, artifact_id: str, kind: str, period: str, parents: tuple[str, ...] = (), label: str | None = None, job_id: str | None = None, provenance_id: str | None = None, findings: DataFrame | None = None) -> Artifact:
         """Take up a file that lies at its place; anonymized and analytical ones need an inspection without blocking findings."""
         from . import inspect

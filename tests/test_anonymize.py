@@ -141,6 +141,14 @@ def test_map_constraints(spark):
         maps.lookup_alias(two, "a")
 
 
+def test_lookups(spark):
+    i = spark.createDataFrame([(1, "INN_1", "7707083893", "inn")], maps.IDENTIFIER_MAP)
+    assert maps.lookup_token(i, "inn", "7707083893") == "INN_1" and maps.lookup_token(i, "kpp", "7707083893") is None
+    assert maps.contains(i, "token", "INN_1") and not maps.contains(i, "token", "INN_2") and maps.cleared(i).count() == 0
+    p = spark.createDataFrame([("j", "s", 3, 1, "INN_1", "string"), ("j", "s", 2, 1, "INN_1", "string")], maps.PROVENANCE)
+    assert [r.row for r in maps.ordered(p).collect()] == [2, 3] and maps.at_coordinate(p, "s", 3, 1).first().token == "INN_1"
+
+
 def test_digest(spark):
     e = spark.createDataFrame([(1, "C_AAAAAAAAA", "x", "company", None), (2, "C_BBBBBBBBB", "y", "company", None)], maps.ENTITY_MAP)
     import hashlib

@@ -76,6 +76,14 @@ def test_artifacts(spark, ws):
     assert [r.artifact_id for r in registry.listing(ws.artifacts(), "local_restored").collect()] == [ids[2]]
 
 
+def test_staging(spark, ws, tmp_path):
+    publish(b"x", str(tmp_path / "a.xlsx"))
+    i, path = ws.stage(str(tmp_path / "a.xlsx"))
+    assert open(path, "rb").read() == b"x" and i in path and ws.allocate_provenance()[1].endswith(".bin")
+    with ws.stores() as s:
+        assert s.mapping.count() == 0
+
+
 def test_backups(spark, ws):
     names = [ws.snapshot(keep_last=2) for _ in range(3)]
     left = [r.name for r in ws.backups().collect()]
