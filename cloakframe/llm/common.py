@@ -50,6 +50,24 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if it has over one in so many of a table's rows; fewer keys than that can be.
+HEAVY = 2000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Inner join with a table that has one row for each key, where a key may have a large part of ``left``'s rows.
+
+    Heavy keys, fewer than ``HEAVY`` by their definition, are joined by broadcast, so their rows stay where they are; all other
+    keys are dealt out. ``left`` should be a stored table; ``n`` is its number of rows if known.
+    """
+    n = left.count() if n is None else n
+    heavy = left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * HEAVY > n).select(key)
+    few = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
+    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key)
+    hot = left.join(few, key)
+    return light.unionByName(hot.select(*light.columns))
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:

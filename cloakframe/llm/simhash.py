@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_name, durable
+from .common import column_name, durable, join_unique
 from .components import connected_components
 
 BITS = 64
@@ -186,7 +186,7 @@ def link_fingerprints(fps: DataFrame, budget: int = 3, hot: int = HOT) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
-    """(doc_id, text) -> doc_id, fp (long), component_id: the smallest doc_id reachable over links of at most ``budget`` bits.
+    """(doc_id, text) -> doc_id, fp (long), root (the component's least fp), component_id: the smallest doc_id reachable over links of at most ``budget`` bits.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay; a row with a null
     doc_id has the component of its text, null if no doc_id is in it. An empty table gives an empty table.
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = durable(link_fingerprints(classes.select("fp"), budget), "linked")
     members = linked.join(classes, linked["node"] == classes["fp"]).select("node", "root", "first_id")
-    members = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
-    by_class = classes.join(members, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return own.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    members = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("fp"), "root", "component_id")
+    by_class = classes.join(members, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_unique(own, durable(by_class, "components"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def as_hex(fp):
@@ -206,11 +206,19 @@ def as_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each; rows with null doc_id stay only where no id is in their component."""
+def deduplicated(docs: DataFrame, shingle: int = 3, **options) -> DataFrame:
+    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each; a component without any doc_id keeps one of its rows."""
     own = docs.columns
-    found = near_duplicates(docs, **options)
+    found = durable(near_duplicates(docs, shingle=shingle, **options), "found")
+    n, fp = column_name(docs, "_n"), column_name(docs, "_fp")
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    n = column_name(docs, "_n")
-    numbered = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return numbered.where(F.col(n) == 1).select(*own)
+    first = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    first = first.where(F.col(n) == 1).select(*own)
+    alone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias(fp)).select(fp)
+    if alone.isEmpty():
+        return first
+    # Rows without a doc_id can only be told by their texts.
+    of_text = F.udf(lambda t: (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
+    nameless = docs.where("doc_id is null").withColumn(fp, of_text("text")).join(alone, fp, "left_semi")
+    nameless = nameless.withColumn(n, F.row_number().over(Window.partitionBy(fp).orderBy("text")))
+    return first.unionByName(nameless.where(F.col(n) == 1).select(*own))

@@ -92,6 +92,12 @@ def test_simhash(docs, empty, wide):
     assert first.columns == wide.columns and sorted(r["doc_id"] for r in first.collect()) == [1, 2, 4, 6, 7]
 
 
+def test_rows_without_ids_are_kept(spark):
+    rows = [(None, "one two three four"), (None, "one two three four"), (None, "other words are here"), (5, "five six seven eight"), (None, "five six seven eight")]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, out.collect())) == Counter([(5, "five six seven eight"), (None, "one two three four"), (None, "other words are here")])
+
+
 @pytest.mark.parametrize("kept", [1, 2, 3])
 def test_blocks_find_every_link(spark, kept):
     rng = np.random.default_rng(kept)
