@@ -61,7 +61,8 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, formatted, segments (role, kind, text, loss), valid; one row a conversation.
 
     Turns go by turn, then role, then text; null turns come first. Null roles and texts are empty; repeated rows are turns
-    of their own; rows with a null conv_id are one conversation. An empty table gives an empty one.
+    of their own; rows with a null conv_id are one conversation. An empty table gives an empty one. A formatted
+    conversation is one value of one row, so its turns meet in one task, however many they are.
     """
     t = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

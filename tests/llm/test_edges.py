@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakframe.llm import chat, langid, mixing, packing, quality, secret_scan, simhash, spotsigs, tokenbin, toxicity
+from cloakframe.llm import chat, common, langid, mixing, packing, quality, secret_scan, simhash, spotsigs, tokenbin, toxicity
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.fastbpe import Encoder
 from cloakframe.llm.simhash import trie_pairs
@@ -134,6 +134,14 @@ def test_hot_groups_are_dealt_again(spark):
     assert simhash.deal(table, 3, 1, 5).groupBy("block", "bits").count().agg(F.max("count")).first()[0] < simhash.deal(table, 3, 1).groupBy("block", "bits").count().agg(F.max("count")).first()[0]
 
 
+def test_heavy_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    left = spark.createDataFrame([(1, i) for i in range(20)] + [(k, k) for k in range(2, 12)] + [(None, 0)], "k long, a long")
+    right = spark.createDataFrame([(k, -k) for k in range(1, 10)], "k long, b long")
+    want = Counter(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    assert Counter(map(tuple, common.join_unique(left, right, "k").select("k", "a", "b").collect())) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(i, i + 1) for i in range(200, 260)] + [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(300, 300)]
