@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_blank
-from ..sources.tables import union_all
+from ..sources.tables import sized, union_all
 from ..types import ALIAS_PREFIX, ENTITY_FIELDS, IDENTIFIER_FIELDS, PSEUDONYMIZABLE, TOKEN_PREFIX, FieldRule, MissingIdentifierMapError, RuleConfigurationError, UnsupportedTargetError
 from . import guards, maps
 from .keys import with_keys
 
-#: Rows up to which a map is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 100_000
-
 
 @dataclass
 class Sheet:
@@ -108,11 +105,6 @@ def extend_identifier_map(identifier_map: DataFrame, sheets: list[Sheet], **opti
     return maps.append(identifier_map, rows, "identifier", [F.col("_first")], stored=True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast only if it is counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def project(sheet: Sheet, entity_map: DataFrame, identifier_map: DataFrame | None) -> DataFrame:
     """The sheet's rows with every column kept, emptied or replaced by keys; blanks stay as they are."""
     out = sheet.table

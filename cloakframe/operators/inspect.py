@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import part_kind
+from ..sources.tables import sized
 from ..types import BLOCKING_KINDS, FINDING_KINDS
-from .anonymize import sized
 
 #: Details kept for each kind; counts go on.
 DETAILS = 100

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import STRIP_CHARS, is_identifier_like
-from ..sources.tables import cell_text
+from ..sources.tables import cell_text, sized
 from ..types import KEEP_SCANNED, ColumnSafetyError, CoverageError, FieldRule, action_matrix
 
 RULES = "sheet_name string, column int, column_name string, field_type string, action string"
@@ -63,7 +63,7 @@ def header_mismatches(cells: DataFrame, rules: DataFrame) -> DataFrame:
 def _scanned(cells: DataFrame, rules: DataFrame) -> DataFrame:
     body = cells.where("row > 1").withColumn("text", F.when(F.col("kind").isin("str", "int"), F.when(F.col("kind") == "str", F.trim(F.col("s"), F.lit(STRIP_CHARS))).otherwise(F.col("i").cast("string"))))
     blank = (F.col("kind") == "null") | ((F.col("kind") == "str") & (F.col("text") == ""))
-    return body.where(~blank).join(F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules, ["sheet_name", "column"])
+    return body.where(~blank).join(sized(rules), ["sheet_name", "column"])
 
 
 def scan(cells: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def gate(cells: DataFrame, sheets: DataFrame, policies: DataFrame, rules: DataFr
     for p in action_violations(rules).orderBy("sheet_name", "column").limit(1).collect():
         raise ColumnSafetyError(p["reason"], column=p["column"])
     left = remaining_sheets(sheets, policies)
-    inside = cells.drop("sheet_index").join(F.broadcast(left.select("sheet_index", F.col("title").alias("sheet_name"))), "sheet_name").select(*cells.columns)
+    inside = cells.drop("sheet_index").join(sized(left.select("sheet_index", F.col("title").alias("sheet_name"))), "sheet_name").select(*cells.columns)
     if header_mismatches(inside, rules).limit(1).count():
         raise CoverageError("header_mismatch")
     if has_formula(inside).where("found").limit(1).count():

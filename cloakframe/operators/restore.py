@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_blank, is_formula
+from ..sources.tables import sized
 from ..types import AmbiguousRestoreError, RestoreValidationError, UnresolvedRestoreError
-from .anonymize import sized
 
 #: Why a recorded coordinate can't be restored, in the order in which it is tested.
 COORDINATE_REASONS = ("unknown_sheet", "out_of_bounds", "merged_child", "token_mismatch", "unknown_token", "not_an_integer")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, headers, identifiers
 from ..operators import guards, inspect, maps, policy, registry, restore, scrub
-from ..operators.anonymize import Sheet, anonymize, coverage_differences, extend_entity_map, sized
-from ..sources.tables import dense, place, store, to_cells, to_wide
+from ..operators.anonymize import Sheet, anonymize, coverage_differences, extend_entity_map
+from ..sources.tables import dense, place, sized, store, to_cells, to_wide
 from ..sources.xlsx import sink_problems
 from ..types import Action, FieldRule, FieldType
 

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows up to which a table is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 100_000
+
 #: Schema of a cell in long form; ``kind`` says which of the value columns holds it.
 CELLS = (
     "sheet_index int, sheet_name string, row int, column int, kind string, s string, i decimal(38,0), d double, b boolean, ts timestamp_ntz, "
@@ -36,6 +39,11 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast only if it is counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def place(i: int) -> str:
     return f"c{i:04d}"
 

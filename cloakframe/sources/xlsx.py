@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formats import relationship_target, relationships_of
 from ..types import PackageError, WriterValidationError
-from .tables import CELLS, SHEETS
+from .tables import CELLS, SHEETS, sized
 
 #: Namespaces and types of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -314,7 +314,7 @@ def _parts(content: bytes) -> list[dict]:
 def sink_problems(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """(sheet_name, row, column, reason): cells to be written that have no sheet, a double place, a place out of bounds, or a value in a merged child."""
     doubled = cells.groupBy("sheet_name", "row", "column").agg(F.count("*").alias("n"), F.max((F.col("is_merged_child") & (F.col("kind") != "null")).cast("int")).alias("child"))
-    x = doubled.join(F.broadcast(sheets.select(F.col("title").alias("sheet_name"), "max_row", "max_column").limit(1_000_000)), "sheet_name", "left")
+    x = doubled.join(sized(sheets.select(F.col("title").alias("sheet_name"), "max_row", "max_column")), "sheet_name", "left")
     reason = F.when(F.col("max_row").isNull(), "unknown_sheet").when(F.col("n") > 1, "duplicate_coordinate").when((F.col("row") < 1) | (F.col("column") < 1) | (F.col("row") > F.col("max_row")) | (F.col("column") > F.col("max_column")), "out_of_bounds").when(F.col("child") == 1, "merged_child")
     return x.select("sheet_name", "row", "column", reason.alias("reason")).where("reason is not null")
 
