@@ -55,19 +55,23 @@ class Encoder:
             begin = end
 
     def _block(self, texts: list[str]):
+        if len(self.known) > PIECES:
+            self.known.clear()
         known, split = self.known, self.split
         cut = [split(t.lower() if self.lower else t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = set().union(*(c for c in cut if c is not None)).difference(known)
-        if len(known) + len(new) > PIECES:
-            known.clear()
-            new = set().union(*(c for c in cut if c is not None))
+        # One look at the table for each piece; those that it lacks are learned together and filled in.
+        found = [None if c is None else list(map(known.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f is not None and None in f else () for f in found]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
         if new:
             self._learn(sorted(new))
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
+        for t, c, f, g in zip(texts, cut, found, gaps, strict=True):
+            if f is None:
                 yield np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4")
             else:
-                yield np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4")
+                for i in g:
+                    f[i] = known[c[i]]
+                yield np.frombuffer(b"".join(f), dtype="<u4")
 
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces: words that a text splits into again go as one text, the others each by itself."""
