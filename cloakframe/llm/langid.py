@@ -2,8 +2,9 @@
 
 A text's letters, lower-cased, with one space for anything between them, give byte n-grams of one to three bytes, hashed to
 ``DIMENSIONS``. Their damped counts times idf, normalised, are compared by cosine with ``CLUSTERS`` spherical k-means
-centroids for each language. A text farther from its nearest centroid than ``slack`` times the farthest training text of
-that language (of ``MIN_LETTERS`` letters or more) is rejected.
+centroids for each language. A text of ``MIN_LETTERS`` letters or more that is farther from its nearest centroid than the
+language's radius is rejected. The radius is a high quantile of the distances of training texts from centroids fitted
+without them, plus a margin; so neither single odd texts nor the size of the sample widen it.
 
 The model is fitted on a bounded sample: ``sample`` labelled rows of each language in expectation, chosen by a hash of doc_id.
 """
@@ -22,6 +23,10 @@ DIMENSIONS = 8192
 CLUSTERS = 4
 #: Texts with fewer letters are too short for their distance to say anything.
 MIN_LETTERS = 20
+#: Parts of the training texts of which each is held out once to measure distances.
+FOLDS = 5
+#: Short texts lie farther out; this over the number of letters is added to the radius.
+SHORT = 2.0
 UNKNOWN = "und"
 _SHIFT = np.uint32(32 - 13)
 _GAPS = re.compile(r"[\W\d_]+")
@@ -51,7 +56,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # one row for each centroid, unit length
     languages: tuple[str, ...]  # of each centroid
-    radius: dict[str, float]  # cosine distance beyond which a text is rejected
+    radius: dict[str, float]  # cosine distance beyond which a long text is rejected
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text; the score is the cosine with the nearest centroid."""
@@ -63,7 +68,7 @@ class LanguageModel:
             near = vectors(np.stack([c for _, c in rows]), self.idf) @ self.centroids.T
             for (i, _), best, score in zip(rows, near.argmax(1), near.max(1), strict=True):
                 lang = self.languages[best]
-                found[i] = (lang, float(min(1.0, max(0.0, score))), bool(1 - score > self.radius[lang] and letters(texts[i]) >= MIN_LETTERS))
+                found[i] = (lang, float(min(1.0, max(0.0, score))), bool((n := letters(texts[i])) >= MIN_LETTERS and 1 - score > self.radius[lang] + SHORT / n))
         return found
 
 
@@ -85,8 +90,20 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, slack: float = 1.5) -> LanguageModel:
-    """A model of labelled texts, in any order; texts without letters are left out."""
+def _held_out_distances(v: np.ndarray, clusters: int) -> np.ndarray:
+    """Distance of each row from the nearest centroid of the other parts' rows. Rows are in the order of their texts, so copies share a part."""
+    parts = np.array_split(np.arange(len(v)), min(FOLDS, len(v)))
+    if len(parts) < 2:
+        return np.empty(0, np.float32)
+    return np.concatenate([1 - (v[part] @ _cluster(np.delete(v, part, axis=0), clusters).T).max(1) for part in parts])
+
+
+def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, quantile: float = 0.95, margin: float = 0.2) -> LanguageModel:
+    """A model of labelled texts, in any order; texts without letters are left out.
+
+    A radius is ``margin`` beyond the ``quantile`` of the language's own held-out distances or of all languages', whichever
+    is larger, since few texts say little. Where nothing can be held out, no text is rejected for its distance.
+    """
     rows = sorted((lang, t) for lang, t in zip(langs, texts, strict=True) if letters(t))
     if not rows:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), {})
@@ -94,14 +111,16 @@ def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, sla
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     v, own = vectors(tf, idf), np.array([lang for lang, _ in rows])
     long_enough = np.array([letters(t) >= MIN_LETTERS for _, t in rows])
-    centroids, languages, radius = [], [], {}
+    centroids, languages, held_out = [], [], {}
     for lang in sorted(set(own)):
         # Short texts are no good centres, but a language may have no others.
         mine = v[(own == lang) & long_enough] if ((own == lang) & long_enough).any() else v[own == lang]
         c = _cluster(mine, clusters)
         centroids.append(c)
         languages += [lang] * len(c)
-        radius[lang] = float(min(0.98, slack * (1 - (mine @ c.T).max(1)).max()))
+        held_out[lang] = _held_out_distances(mine, clusters)
+    every = np.concatenate(list(held_out.values()))
+    radius = {lang: float(min(0.98, max(np.quantile(d, quantile) for d in (own_d, every) if len(d)) + margin)) if len(every) else 1.0 for lang, own_d in held_out.items()}
     return LanguageModel(idf, np.concatenate(centroids), tuple(languages), radius)
 
 

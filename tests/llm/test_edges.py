@@ -170,6 +170,25 @@ def test_far_texts_are_rejected(spark, sf_dir):
     assert len(model.languages) > len(set(model.languages))
 
 
+UNLEARNED = {
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Dutch": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+    "Italian": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "gibberish": "xqzv kjwp qqxz vbnm zxcv qwrt plkj hgfd wxyz jkqv zzxq bvcx mnqw rtyp sdfg hjkl qzxw vcbn",
+    "letters": " ".join("".join(chr(97 + (7 * i * i + 11 * i * j + j**3) % 26) for j in range(3 + i % 6)) for i in range(60)),
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unlearned_languages_are_rejected(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = langid.fit_languages(table)
+    assert {k: r for k, (_, _, r) in zip(UNLEARNED, model.predict(list(UNLEARNED.values())), strict=True)} == dict.fromkeys(UNLEARNED, True)
+    found = [r["rejected"] for r in langid.identify_languages(table.where("doc_id % 5 = 0"), model).select("rejected").collect()]
+    assert sum(found) < 0.005 * len(found)
+
+
 def test_token_records(spark, docs, empty, wide, paths, tmp_path):
     folder = f"file://{tmp_path}/records"
     shards = tokenbin.write_token_records(wide, folder, paths[0], parts=3)
