@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import column_name, durable, join_unique
 from .components import connected_components
+from .setjoin import LIKENESS, SAMPLE, similar_components
 
 BITS = 64
 #: Distinct fingerprints that a group holds on average, at most; beyond it more blocks have to agree.
@@ -31,16 +32,40 @@ FRONTIER = 1_000_000
 CHUNK = 50_000
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of word shingles, repeats included: bit set if set in over half the XXH64 (seed 42) of the shingles. No words: 0."""
+def _hashed(text: str | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of the shingles of ``shingle`` words, repeats included, of all words where there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
+        return []
+    return [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)] or [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+
+
+def _sign(hashed: list[int]) -> int:
+    if not hashed:
         return 0
-    hashed = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)] or [xxhash.xxh64_intdigest(b" ".join(words), 42)]
     ones = np.unpackbits(np.array(hashed, dtype=">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashed)).view(">u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of word shingles, repeats included: bit set if set in over half the XXH64 (seed 42) of the shingles. No words: 0."""
+    return _sign(_hashed(text, shingle))
+
+
+def _shingle_set(hashed: list[int]) -> tuple[int, np.ndarray]:
+    """The set of hashes, and its own hash as its key; both as signed longs."""
+    members = np.unique(np.array(hashed, dtype=np.uint64)).view(np.int64)
+    return (xxhash.xxh64_intdigest(members.tobytes(), 42) ^ 1 << 63) - (1 << 63), members
+
+
+def _shingle_sets(shingle: int):
+    def read(batch):
+        found = [_shingle_set(_hashed(t, shingle)) for t in batch.column("text").to_pylist()]
+        return np.array([k for k, _ in found], dtype=np.int64), [m for _, m in found]
+
+    return read
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
@@ -50,6 +75,16 @@ def _fingerprints(shingle: int):
     return run
 
 
+def _keys_and_fingerprints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            found = [(_shingle_set(h)[0], _sign(h)) for h in (_hashed(t, shingle) for t in batch.column("text").to_pylist())]
+            keys, fps = np.array([k for k, _ in found], dtype=np.int64), np.array([f for _, f in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(fps)], ["doc_id", "key", "fp"])
+
+    return run
+
+
 def trie_pairs(fps: np.ndarray, starts: np.ndarray, budget: int, frontier: int = FRONTIER):
     """Index pairs of fingerprints in the same group within ``budget`` bits, in blocks.
 
@@ -206,10 +241,32 @@ def as_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 3, **options) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each; a component without any doc_id keeps one of its rows."""
+def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, int] = LIKENESS) -> DataFrame:
+    """(doc_id, text) -> doc_id, fp, root, component_id as ``near_duplicates``, linked where the sets of word shingles have a Jaccard index of ``likeness`` or more.
+
+    ``fp`` is the hash of the set. What the trie join links is compared first; the join of the sets finds the rest.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = durable(docs.select("doc_id", "text").mapInArrow(_keys_and_fingerprints(shingle), f"doc_id {kind}, key long, fp long"), "set-keys")
+    classes = durable(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp")), "classes")
+    near = classes.join(link_fingerprints(classes.select("fp").distinct()).withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("near"))
+    near = durable(near, "near")
+    seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near").select(F.col("key").alias("u"), "v")
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(max(1, own.count() // SAMPLE))) == 0)
+    linked = durable(similar_components(docs.select("text"), some.select("text"), likeness, seed, _shingle_sets(shingle)), "linked")
+    members = linked.join(classes, linked["node"] == classes["key"]).select("node", "root", "first_id")
+    members = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("key"), "root", "component_id")
+    by_class = classes.join(members, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_unique(own.select("doc_id", "key"), durable(by_class, "components"), "key").select("doc_id", F.col("key").alias("fp"), "root", "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each; a component without any doc_id keeps one of its rows.
+
+    Components are those of ``similar_documents`` if a likeness is given, of ``near_duplicates`` otherwise.
+    """
     own = docs.columns
-    found = durable(near_duplicates(docs, shingle=shingle, **options), "found")
+    found = durable(similar_documents(docs, shingle, likeness) if likeness else near_duplicates(docs, shingle=shingle, **options), "found")
     n, fp = column_name(docs, "_n"), column_name(docs, "_fp")
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
@@ -218,7 +275,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, **options) -> DataFrame:
     if alone.isEmpty():
         return first
     # Rows without a doc_id can only be told by their texts.
-    of_text = F.udf(lambda t: (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
+    of_text = F.udf(lambda t: _shingle_set(_hashed(t, shingle))[0] if likeness else (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
     nameless = docs.where("doc_id is null").withColumn(fp, of_text("text")).join(alone, fp, "left_semi")
     nameless = nameless.withColumn(n, F.row_number().over(Window.partitionBy(fp).orderBy("text")))
     return first.unionByName(nameless.where(F.col(n) == 1).select(*own))

@@ -20,8 +20,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
-    return simhash.deduplicated(docs.select(*COLUMNS))
+    """One document of each group of near copies (Jaccard index of five-word shingles 0.8 or more), the one with the smallest doc_id."""
+    return simhash.deduplicated(docs.select(*COLUMNS), shingle=5, likeness=(4, 5))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

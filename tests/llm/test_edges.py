@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakframe.llm import chat, common, langid, mixing, packing, quality, secret_scan, simhash, spotsigs, tokenbin, toxicity
+from cloakframe.llm import chat, common, langid, mixing, packing, quality, secret_scan, setjoin, simhash, spotsigs, tokenbin, toxicity
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.fastbpe import Encoder
 from cloakframe.llm.simhash import trie_pairs
@@ -98,6 +98,44 @@ def test_rows_without_ids_are_kept(spark):
     assert Counter(map(tuple, out.collect())) == Counter([(5, "five six seven eight"), (None, "one two three four"), (None, "other words are here")])
 
 
+def plain_components(sets):
+    """key -> least key of its component, links being Jaccard indexes of 0.8 or more; by brute force."""
+    root = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_pipeline_drops_near_copies(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in table.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = set(zip(*(w[i:] for i in range(5)), strict=False)) or ({tuple(w)} if w else set())
+    root = plain_components(sets)
+    got = [r["doc_id"] for r in corpus_pipeline.deduplicate(spark, table, "").select("doc_id").collect()]
+    assert sorted(got) == sorted(k for k, r in root.items() if k == r) and len(got) == 922
+
+
+@pytest.mark.parametrize("frequent", [2, 10**6])
+def test_set_join_is_exact(spark, monkeypatch, frequent):
+    monkeypatch.setattr(setjoin, "FREQUENT", frequent)
+    monkeypatch.setattr(setjoin, "MANY", frequent)
+    rng, sets = np.random.default_rng(11), {}
+    for _ in range(60):
+        base = set(map(int, rng.choice(150, rng.integers(1, 60), replace=False)))
+        for _ in range(rng.integers(1, 7)):
+            drop = set(map(int, rng.choice(sorted(base), rng.integers(0, max(1, len(base) // 6)), replace=False)))
+            sets[len(sets)] = base - drop | set(map(int, rng.integers(0, 150, rng.integers(0, 3))))
+    t = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "key long, members array<long>")
+    root = plain_components(sets)
+    want = {k: r for k, r in root.items() if sum(x == r for x in root.values()) > 1}
+    for seed in (None, spark.createDataFrame([(0, 1), (5, 90)], "u long, v long")):
+        assert {r["node"]: r["root"] for r in setjoin.similar_components(t, t, seed=seed).collect()} == want
+
+
 @pytest.mark.parametrize("kept", [1, 2, 3])
 def test_blocks_find_every_link(spark, kept):
     rng = np.random.default_rng(kept)
