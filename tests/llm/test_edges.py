@@ -271,6 +271,16 @@ def test_spotsigs(docs, empty, wide):
     assert spotsigs.edited_neighbours(docs.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
+def test_spotsigs_near_duplicates(spark, docs, empty, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = {r["doc_id"]: set(r["s"]) for r in spotsigs.with_signatures(table, "text", "s").collect()}
+    got = {r["doc_id"]: r["class_id"] for r in spotsigs.near_duplicates(table).collect()}
+    assert got == plain_components(sets) and len(set(got.values())) < len({frozenset(s) for s in sets.values()}) < len(got)
+    small = Counter((r["doc_id"], r["class_id"]) for r in spotsigs.near_duplicates(docs).collect())
+    assert small[5, 4] == small[4, 4] == small[3, 2] == 1 and small[1, 1] == small[None, 2] == 2
+    assert spotsigs.near_duplicates(empty).count() == 0
+
+
 def test_sparse_and_negative_ids(spark):
     ids = [-(2**40), -5, 0, 3, 2**40, 2**40 + 1]
     t = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
