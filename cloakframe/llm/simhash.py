@@ -261,21 +261,28 @@ def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, in
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each; a component without any doc_id keeps one of its rows.
+    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each component; a component without any doc_id keeps one of its rows.
+
+    A doc_id that repeats with texts of several components is kept once in each of which it is the smallest.
 
     Components are those of ``similar_documents`` if a likeness is given, of ``near_duplicates`` otherwise.
     """
     own = docs.columns
     found = durable(similar_documents(docs, shingle, likeness) if likeness else near_duplicates(docs, shingle=shingle, **options), "found")
     n, fp = column_name(docs, "_n"), column_name(docs, "_fp")
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    first = first.where(F.col(n) == 1).select(*own)
+    # One fingerprint of each component, of a row that has its smallest doc_id; a repeated doc_id may be in several components.
+    kept = durable(found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias(fp)).select("doc_id", fp), "kept")
+    repeated = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    first = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*own)
+    of_text = F.udf(lambda t: _shingle_set(_hashed(t, shingle))[0] if likeness else (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
+    if not repeated.isEmpty():
+        several = first.join(repeated, "doc_id", "left_semi").withColumn(fp, of_text("text")).join(kept, ["doc_id", fp], "left_semi")
+        several = several.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy("text"))).where(F.col(n) == 1)
+        first = first.join(repeated, "doc_id", "left_anti").select(*own).unionByName(several.select(*own))
     alone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias(fp)).select(fp)
     if alone.isEmpty():
         return first
     # Rows without a doc_id can only be told by their texts.
-    of_text = F.udf(lambda t: _shingle_set(_hashed(t, shingle))[0] if likeness else (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
     nameless = docs.where("doc_id is null").withColumn(fp, of_text("text")).join(alone, fp, "left_semi")
     nameless = nameless.withColumn(n, F.row_number().over(Window.partitionBy(fp).orderBy("text")))
     return first.unionByName(nameless.where(F.col(n) == 1).select(*own))

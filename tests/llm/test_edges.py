@@ -98,6 +98,14 @@ def test_rows_without_ids_are_kept(spark):
     assert Counter(map(tuple, out.collect())) == Counter([(5, "five six seven eight"), (None, "one two three four"), (None, "other words are here")])
 
 
+@pytest.mark.parametrize("options", [{}, {"shingle": 5, "likeness": (4, 5)}])
+def test_repeated_ids_keep_a_row_of_each_component(spark, options):
+    a, b, c = "one two three four five six", "the fox and the dog of the house", "zebra words are quite unlike all others"
+    rows = [(1, a), (2, c), (2, b), (2, c), (1, b), (3, c)]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    assert Counter(map(tuple, out.collect())) == Counter([(1, a), (1, b), (2, c)])
+
+
 def plain_components(sets):
     """key -> least key of its component, links being Jaccard indexes of 0.8 or more; by brute force."""
     root = {k: k for k in sets}
