@@ -80,17 +80,21 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
 
 
 def parse_chats(formatted: Column, template: Template = CHAT) -> Column:
-    """The turns of a formatted text: array of (role, text, loss)."""
+    """The turns of a formatted text: array of (role, text)."""
     pieces = F.filter(F.split(formatted, _literal(template.head)), lambda p: p != "")
 
     def turn(p: Column) -> Column:
         two = F.split(p, _literal(template.after_role))
-        role = unescape(two[0], template)
         body = F.substring(two[1], F.lit(1), F.length(two[1]) - len(template.tail))
-        return F.struct(role.alias("role"), unescape(body, template).alias("text"), role.isin(*template.loss_roles).alias("loss"))
+        return F.struct(unescape(two[0], template).alias("role"), unescape(body, template).alias("text"))
 
     return F.transform(pieces, turn)
 
 
+def loss_text(segments: Column, template: Template = CHAT) -> Column:
+    """All text under the loss mask, unescaped: the segments that are flagged, in order, nothing between them."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"

@@ -6,7 +6,7 @@ centroids for each language. A text of ``MIN_LETTERS`` letters or more that is f
 language's radius is rejected. The radius is a high quantile of the distances of training texts from centroids fitted
 without them, plus a margin; so neither single odd texts nor the size of the sample widen it.
 
-The model is fitted on a bounded sample: ``sample`` labelled rows of each language in expectation, chosen by a hash of doc_id.
+The model is fitted on a bounded sample: ``sample`` labelled rows of each language in expectation, chosen by a hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column_name, crc32_remainder
+
 DIMENSIONS = 8192
 CLUSTERS = 4
 #: Texts with fewer letters are too short for their distance to say anything.
@@ -32,9 +34,16 @@ _SHIFT = np.uint32(32 - 13)
 _GAPS = re.compile(r"[\W\d_]+")
 
 
+def _letters_only(text: str | None) -> str:
+    """A text in lower case, with one space for each run of anything but letters; number signs such as ½ or Ⅷ are no letters."""
+    folded = _GAPS.sub(" ", (text or "").lower())
+    odd = "".join(c for c in set(folded) if c != " " and not c.isalpha())
+    return (re.sub(f"[{re.escape(odd)} ]+", " ", folded) if odd else folded).strip()
+
+
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text, or None if it has no letter."""
-    folded = _GAPS.sub(" ", (text or "").lower()).strip()
+    folded = _letters_only(text)
     if not folded:
         return None
     b = np.frombuffer(f" {folded} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
@@ -48,7 +57,8 @@ def counts(text: str | None) -> np.ndarray | None:
 
 
 def letters(text: str | None) -> int:
-    return len(_GAPS.sub("", text or ""))
+    folded = _letters_only(text)
+    return len(folded) - folded.count(" ")
 
 
 @dataclass(frozen=True)
@@ -124,20 +134,21 @@ def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, qua
     return LanguageModel(idf, np.concatenate(centroids), tuple(languages), radius)
 
 
-def fit_languages(labelled: DataFrame, sample: int = 400, **options) -> LanguageModel:
-    """Fit on (doc_id, text, lang): about ``sample`` rows of each non-null lang, by a hash of doc_id, or all where there are fewer."""
-    known = labelled.where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return fit([], [], **options)
-    point = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n) * 1_000_000)])
-    rows = known.where(point < share[F.col("lang")]).select("text", "lang").collect()
+def fit_languages(labelled: DataFrame, sample: int = 400, most: int = 1000, **options) -> LanguageModel:
+    """Fit on (doc_id, text, lang): about ``sample`` rows of each non-null lang, by a hash of doc_id and text, or all where there are fewer.
+
+    Languages are the ``most`` most frequent ones, so that a column of other things than languages doesn't fill the driver.
+    """
+    known = labelled.where("lang is not null").select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    shares = sizes.select("lang", (F.least(F.lit(1.0), F.lit(sample) / F.col("n")) * 1_000_000).alias("share"))
+    point = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("language sample")), F.lit(1_000_000))
+    rows = known.join(F.broadcast(shares), "lang").where(point < F.col("share")).select("text", "lang").collect()  # ``most`` rows are broadcast
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows of ``docs`` with lang_pred, score (0 to 1) and rejected added; columns of these names are replaced.
+    """Rows of ``docs`` with lang_pred, score (0 to 1) and rejected added; columns of these names, in any case, are replaced.
 
     lang_pred is a language of the model, or ``und`` (score 0, rejected) where the text is null or has no letter or the
     model is empty. Whole texts are read; repeated rows get the same answer; an empty table gives an empty one.
@@ -148,12 +159,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "rejected"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*own, predict("text").alias("_found")).select(*own, "_found.*")
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    found = column_name(docs, "_found")
+    return docs.select(*own, predict("text").alias(found)).select(*own, f"{found}.*")
 
 
 def held_in(doc_id: Column) -> Column:
     """Rows that a model of the query may learn from: crc32(doc_id as text) mod 3 is not 1."""
-    from .common import crc32_remainder
-
     return crc32_remainder(doc_id, 3) != 1

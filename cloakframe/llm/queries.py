@@ -58,15 +58,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"select -7L as conv_id, turn, role, '{says}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(more)
     out = chat.format_chats(turns)
-    back = out.select("conv_id", "valid", "formatted", chat.parse_chats(F.col("formatted")).alias("turns"))
+    back = out.select("conv_id", "valid", "formatted", chat.parse_chats(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )
