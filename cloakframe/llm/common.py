@@ -21,6 +21,29 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements of a block of ``running``.
+BLOCK = 64
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` elements, the last one shorter."""
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(v, i + 1, F.lit(BLOCK))))
+
+
+def running(values: Column, combine) -> Column:
+    """For each element of an array of non-negative ints, ``combine`` over all elements before it, from zero.
+
+    Arrays are copied when they grow, so this goes in blocks: the cost is near the number of elements, not its square.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    inner = F.transform(blocks(values), lambda b: F.aggregate(b, start, step))
+    return let(inner, lambda i: F.flatten(F.zip_with(i, F.aggregate(i["at"], start, step)["out"], lambda b, o: F.transform(b["out"], lambda x: combine(x, o).cast("int")))))
+
+
 def split_words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
@@ -50,6 +73,9 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of narrow rows is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 100_000
+
 #: A key is heavy if it has over one in so many of a table's rows; fewer keys than that can be.
 HEAVY = 2000
 

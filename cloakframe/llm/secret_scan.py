@@ -1,10 +1,10 @@
 """Secret scans with a trigram index.
 
 Every rule is a regular expression with a condition on its length. From the expression a Boolean trigram query is derived:
-an OR of ANDs of trigrams that any match must contain. The index holds, for each text, which of the queries' trigrams occur
-in it, as bits: a posting list is a bit over all texts, and intersecting postings is one AND. Rules run only on the texts
-their query admits; a rule without a mandatory trigram scans all texts. Trigrams are compared in lower case, which can only
-admit more. DataFrame functions only; the queries are derived on the driver, from the rules alone.
+an OR of ANDs of trigrams that any match must contain. The inverted index lists, for each trigram of the queries, the texts
+that have it; intersecting postings gives each rule's candidates, and the rule's expression is matched on those alone. A rule
+without a mandatory trigram scans all texts. Trigrams are compared in lower case, which can only admit more. DataFrame
+functions only; the queries are derived on the driver, from the rules alone.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from __future__ import annotations
 import re
 import re._parser as sre
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, let
+from .common import BROADCAST_ROWS, blocks, column_name, durable, join_unique, let, running
 
 #: Alternatives of one query; beyond it a part of an expression counts as unknown.
 BRANCHES = 64
@@ -118,25 +117,22 @@ def trigram_vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted(set().union(*(n for r in rules for n in trigram_query(r.pattern) or [])))
 
 
-def trigram_index(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The postings of a text: an array of longs, bit i of word i // 60 set if the vocabulary's i-th trigram is in it."""
-    words, low = trigram_vocabulary(rules), F.lower(text)
-    return let(low, lambda t: F.array(*[reduce(lambda a, b: a + b, [F.when(F.contains(t, F.lit(w)), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(words[at : at + 60])]).cast("long") for at in range(0, len(words), 60)]))
+def trigram_index(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, text) -> (trigram, key): the postings of the rules' trigrams, in lower case."""
+    words = trigram_vocabulary(rules)
+    held = let(F.lower(F.col("text")), lambda t: F.filter(F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>"), lambda w: F.contains(t, w)))
+    return texts.select(F.explode(held).alias("trigram"), "key")
 
 
-def admits(index: Column, rule: Rule, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Whether a rule's query holds for a text's postings."""
-    query = trigram_query(rule.pattern)
-    if query is None:
-        return F.lit(True)
-    at = {w: i for i, w in enumerate(trigram_vocabulary(rules))}
-    any_of = []
-    for need in query:
-        masks: dict[int, int] = {}
-        for w in need:
-            masks[at[w] // 60] = masks.get(at[w] // 60, 0) | 1 << at[w] % 60
-        any_of.append(reduce(lambda a, b: a & b, [index[k].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for k, m in masks.items()]))
-    return reduce(lambda a, b: a | b, any_of)
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(trigram, key) -> (key, rules): the texts that each rule's query admits, ``rules`` being bits by the rules' places.
+
+    Postings of an alternative's trigrams are intersected: a text stays if all of them have it. Texts may be posted repeatedly.
+    """
+    queries = [(w, 1 << place, n, 1 << i, (1 << len(need)) - 1) for place, r in enumerate(rules) for n, need in enumerate(trigram_query(r.pattern) or []) for i, w in enumerate(sorted(need))]
+    wanted = index.sparkSession.createDataFrame(queries, "trigram string, rule long, alternative int, bit long, whole long")
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("key", "rule", "alternative").agg(F.bit_or("bit").alias("bits"), F.max("whole").alias("whole"))  # the rules' own trigrams are broadcast
+    return met.where("bits = whole").groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
@@ -145,40 +141,51 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     The text between matches and the matches follow each other, so their lengths give the places.
     """
     gaps, found, group = F.split(text, rule.pattern), F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    gap = lambda: F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length)
+    sizes = F.zip_with(F.zip_with(gap(), found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"))), group, lambda s, g: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(g).alias("n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
+    def placed(x: Column) -> Column:
+        before = running(F.transform(x, lambda s: s["gap"] + s["size"]), lambda a, b: a + b)
+        return F.zip_with(x, before, lambda s, at: F.struct((at + s["gap"]).alias("start"), F.lit(place).alias("place"), (at + s["gap"] + s["size"]).alias("end"), F.lit(rule.kind).alias("kind"), s["n"].alias("n")))
 
-    spans = F.aggregate(sizes, start, step, lambda acc: acc["out"])
-    spans = F.zip_with(spans, group, lambda s, g: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.length(g).alias("n")))
-    kept = F.filter(spans, lambda s: s["n"] >= rule.least)
+    kept = F.filter(let(sizes, placed), lambda s: s["n"] >= rule.least)
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 _EMPTY = "array<struct<start:int,place:int,end:int,kind:string>>"
 
 
+def _scanned(text: Column, rule: Rule, place: int, admitted: Column | None = None) -> Column:
+    """A rule's spans in a text; places are worked out only where it matches at all."""
+    simple = rule.pattern.startswith("[") and rule.pattern.endswith("]+") and rule.pattern.count("[") == 1 and rule.group == 0
+    exact = Rule(rule.kind, rule.pattern[:-1] + f"{{{rule.least},}}" if simple else rule.pattern, rule.group, rule.least)
+    there = text.rlike(exact.pattern) if admitted is None else admitted & text.rlike(exact.pattern)
+    return F.when(there, _spans(text, exact, place)).otherwise(F.array().cast(_EMPTY))
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of ``docs`` with spans added: every rule's matches in the whole text, by start, then kind as listed.
 
     Each rule goes leftmost and non-overlapping by itself; spans of different rules may overlap. Null and empty texts have
-    none; repeated rows are scanned each for itself; an empty table gives an empty one; a column spans is replaced.
+    none; repeated rows have the same spans, found once for each text; an empty table gives an empty one; a column spans, in
+    any case, is replaced. Rules without a mandatory trigram are matched where the rows are. For all others the postings give
+    candidates, told by their SHA-256; only those texts are matched, and what they hold is joined to the rows.
     """
     own = [c for c in docs.columns if c.lower() != "spans"]
-    index, text = column_name(docs, "_index"), column_name(docs, "_text")
-    t = docs.select(*own).withColumn(text, F.coalesce("text", F.lit(""))).withColumn(index, trigram_index(F.col(text), rules))
-    parts = []
-    for place, rule in enumerate(rules):
-        # A rule's cheapest test comes first; places are worked out only where it matches at all.
-        long_enough = rule.pattern[:-1] + f"{{{rule.least},}}" if rule.pattern.endswith("]+") and rule.group == 0 and rule.pattern.startswith("[") else rule.pattern
-        exact = Rule(rule.kind, long_enough, rule.group, rule.least)
-        there = admits(F.col(index), rule, rules) & F.col(text).rlike(long_enough)
-        parts.append(F.when(there, _spans(F.col(text), exact, place)).otherwise(F.array().cast(_EMPTY)))
-    return t.withColumn("spans", F.sort_array(F.concat(*parts))).select(*own, "spans")
+    key, free, bound = (column_name(docs, c) for c in ("_key", "_free", "_bound"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    indexed = {place: r for place, r in enumerate(rules) if trigram_query(r.pattern) is not None}
+    texts = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    admitted = durable(candidates(trigram_index(texts, rules), rules), "candidates")
+    few = admitted.count() <= BROADCAST_ROWS
+    met = texts.join(F.broadcast(admitted), "key") if few else join_unique(texts, admitted, "key")
+    once = met.groupBy("key").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+    spans = F.concat(F.array().cast(_EMPTY), *[_scanned(F.col("text"), r, place, F.col("rules").bitwiseAND(F.lit(1 << place).cast("long")) != 0) for place, r in indexed.items()])
+    verified = durable(once.select(F.col("key").alias(key), spans.alias(bound)).where(F.size(bound) > 0), "verified")
+    small = verified.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(bound)), F.lit(0)).alias("spans")).first()
+    here = docs.select(*own, F.unhex(F.sha2(text, 256)).alias(key), F.concat(F.array().cast(_EMPTY), *[_scanned(text, r, place) for place, r in enumerate(rules) if place not in indexed]).alias(free))
+    joined_to = here.join(F.broadcast(verified) if small["n"] + small["spans"] <= BROADCAST_ROWS else verified, key, "left")
+    return joined_to.select(*own, F.sort_array(F.concat(free, F.coalesce(bound, F.array().cast(_EMPTY)))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -187,20 +194,27 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """Rows of ``docs`` with every secret replaced by ``mask``, overlapping ones by one; n_chars, if there, follows. No row goes."""
+    """Rows of ``docs`` with every secret replaced by ``mask``, overlapping ones by one; n_chars, if there, follows. No row goes.
+
+    Null texts stay null; columns keep their names, whatever they are.
+    """
     own = docs.columns
-    found = find_secrets(docs.withColumnRenamed("spans", "_old_spans") if "spans" in own else docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
-
-    rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).drop("spans")
-    if "_old_spans" in out.columns:
-        out = out.withColumnRenamed("_old_spans", "spans")
+    old = {c: column_name(docs, f"_own_{c}") for c in own if c.lower() == "spans"}
+    found = find_secrets(docs.withColumnsRenamed(old), rules)
+
+    def piece(part: Column, begin: Column, s: Column) -> Column:
+        return F.when(s["start"] >= s["before"], F.concat(F.substring(part, s["before"] - begin + 1, s["start"] - s["before"]), F.lit(mask))).otherwise("")
+
+    def cut(block: Column) -> Column:
+        begin = block[0]["before"]
+        part = F.substring(F.col("text"), begin + 1, F.greatest(F.lit(0), F.element_at(block, -1)["start"] - begin))
+        return let(part, lambda p: F.array_join(F.transform(block, lambda s: piece(p, begin, s)), ""))
+
+    # Each span with the end of all before it; then blocks of spans, each with its own part of the text.
+    spans = F.zip_with("spans", running(F.transform("spans", lambda s: s["end"]), F.greatest), lambda s, before: F.struct(s["start"].alias("start"), before.alias("before")))
+    tail = F.substring(F.col("text"), F.array_max(F.transform("spans", lambda s: s["end"])) + 1, F.lit(2147483647))
+    text = F.concat(F.array_join(F.transform(blocks(spans), cut), ""), tail)
+    out = found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("spans").withColumnsRenamed({v: k for k, v in old.items()})
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*own)
