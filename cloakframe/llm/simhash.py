@@ -14,12 +14,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, durable, join_unique
+from .common import BROADCAST_ROWS, column_name, durable, join_unique
 from .components import connected_components
-from .setjoin import LIKENESS, SAMPLE, similar_components
+from .setjoin import LIKENESS, SAMPLE, first_members, member_order, similar_components
 
 BITS = 64
 #: Distinct fingerprints that a group holds on average, at most; beyond it more blocks have to agree.
@@ -58,29 +58,55 @@ def _shingle_set(hashed: list[int]) -> tuple[int, np.ndarray]:
     return (xxhash.xxh64_intdigest(members.tobytes(), 42) ^ 1 << 63) - (1 << 63), members
 
 
-def _shingle_sets(shingle: int):
-    def read(batch):
-        found = [_shingle_set(_hashed(t, shingle)) for t in batch.column("text").to_pylist()]
-        return np.array([k for k, _ in found], dtype=np.int64), [m for _, m in found]
+def _fingerprints(shingle: int):
+    """(doc_id, row, text) -> doc_id, row, fp."""
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return read
+    return run
 
 
-def _fingerprints(shingle: int):
+def _sets(shingle: int, likeness: tuple[int, int], order: list[int]):
+    """(doc_id, row, text) -> doc_id, row, the set's key, size and prefix, and the fingerprint, of one hashing of each text."""
+
     def run(batches):
+        places = np.array(order)
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            keys, fps, sizes, prefixes = [], [], [], []
+            for t in batch.column("text"):
+                hashed = _hashed(t.as_py(), shingle)
+                key, members = _shingle_set(hashed)
+                keys.append(key)
+                fps.append(_sign(hashed))
+                sizes.append(len(members))
+                prefixes.append(first_members(members, places, likeness) if len(members) else members)
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "fp", "n", "prefix"])
 
     return run
 
 
-def _keys_and_fingerprints(shingle: int):
+def _members(shingle: int):
+    """(key, text) -> key, members."""
+
     def run(batches):
         for batch in batches:
-            found = [(_shingle_set(h)[0], _sign(h)) for h in (_hashed(t, shingle) for t in batch.column("text").to_pylist())]
-            keys, fps = np.array([k for k, _ in found], dtype=np.int64), np.array([f for _, f in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(fps)], ["doc_id", "key", "fp"])
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                sets = [_shingle_set(_hashed(t.as_py(), shingle))[1] for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "members"])
+
+    return run
+
+
+def _sampled_members(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(_hashed(t.as_py(), shingle))[1])], ["member"])
 
     return run
 
@@ -224,16 +250,27 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     """(doc_id, text) -> doc_id, fp (long), root (the component's least fp), component_id: the smallest doc_id reachable over links of at most ``budget`` bits.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay; a row with a null
-    doc_id has the component of its text, null if no doc_id is in it. An empty table gives an empty table.
+    doc_id has the component of its text, null if no doc_id is in it. An empty table gives an empty table. Texts of any
+    length are read whole. A column ``row``, if there, is passed on.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = durable(docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long"), "fingerprints")
+    rows = docs.select("doc_id", (F.col("row") if "row" in docs.columns else F.lit(None)).cast("long").alias("row"), "text")
+    own = durable(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, row long, fp long"), "fingerprints")
     classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = durable(link_fingerprints(classes.select("fp"), budget), "linked")
-    members = linked.join(classes, linked["node"] == classes["fp"]).select("node", "root", "first_id")
-    members = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("fp"), "root", "component_id")
-    by_class = classes.join(members, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return join_unique(own, durable(by_class, "components"), "fp").select("doc_id", "fp", "root", "component_id")
+    found = _with_components(own, classes, linked, "fp")
+    return found if "row" in docs.columns else found.drop("row")
+
+
+def _with_components(own: DataFrame, classes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """Rows of ``own`` with root and component_id; ``classes`` has the least doc_id of each key, ``linked`` the root of keys that are linked.
+
+    A component's least doc_id goes to its members by ``join_unique``, as one component may hold most keys.
+    """
+    members = durable(linked.join(classes, linked["node"] == classes[key]).select(F.col("node").alias(key), "root", "first_id"), "members")
+    members = join_unique(members.select(key, "root"), members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
+    by_class = classes.join(members, key, "left").select(key, F.coalesce("root", key).alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_unique(own.select("doc_id", "row", key), durable(by_class, "components"), key).select("doc_id", "row", F.col(key).alias("fp"), "root", "component_id")
 
 
 def as_hex(fp):
@@ -242,47 +279,46 @@ def as_hex(fp):
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, int] = LIKENESS) -> DataFrame:
-    """(doc_id, text) -> doc_id, fp, root, component_id as ``near_duplicates``, linked where the sets of word shingles have a Jaccard index of ``likeness`` or more.
+    """(doc_id, text, row) -> doc_id, row, fp, root, component_id as ``near_duplicates``, linked where the sets of word shingles have a Jaccard index of ``likeness`` or more.
 
-    ``fp`` is the hash of the set. What the trie join links is compared first; the join of the sets finds the rest.
+    ``row`` is a number of each row's own, stored with it. ``fp`` is the hash of the set. Each text is hashed once for its
+    key, its fingerprint and its prefix; what the trie join links is compared first, the join of the prefixes finds the
+    rest. Null and empty texts have the empty set and are one component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = durable(docs.select("doc_id", "text").mapInArrow(_keys_and_fingerprints(shingle), f"doc_id {kind}, key long, fp long"), "set-keys")
-    classes = durable(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp")), "classes")
+    n = docs.select("row").count()
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    order = member_order(some.mapInArrow(_sampled_members(shingle), "member long"))
+    own = durable(docs.select("doc_id", "row", "text").mapInArrow(_sets(shingle, likeness, order), f"doc_id {kind}, row long, key long, fp long, n int, prefix array<long>"), "set-keys")
+    classes = durable(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("row").alias("row")), "classes")
     near = classes.join(link_fingerprints(classes.select("fp").distinct()).withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("near"))
     near = durable(near, "near")
     seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near").select(F.col("key").alias("u"), "v")
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(max(1, own.count() // SAMPLE))) == 0)
-    linked = durable(similar_components(docs.select("text"), some.select("text"), likeness, seed, _shingle_sets(shingle)), "linked")
-    members = linked.join(classes, linked["node"] == classes["key"]).select("node", "root", "first_id")
-    members = members.join(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(F.col("node").alias("key"), "root", "component_id")
-    by_class = classes.join(members, "key", "left").select("key", F.coalesce("root", "key").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return join_unique(own.select("doc_id", "key"), durable(by_class, "components"), "key").select("doc_id", F.col("key").alias("fp"), "root", "component_id")
+    # One row of each set goes on; its prefix is there already.
+    firsts = own.join(classes.select("key", "row"), ["key", "row"], "left_semi")
+    prefixes = firsts.select(F.explode("prefix").alias("member"), "key", "n")
 
+    def members_of(keys: DataFrame) -> DataFrame:
+        wanted = durable(classes.join(keys, "key", "left_semi").select("key", "row"), "wanted-rows")
+        texts = docs.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "row")
+        return texts.select("key", "text").mapInArrow(_members(shingle), "key long, members array<long>")
 
-def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` of which the doc_id is its component's smallest, one row for each component; a component without any doc_id keeps one of its rows.
+    linked = durable(similar_components(prefixes, members_of, likeness, seed), "linked")
+    return _with_components(own, classes.select("key", "first_id"), linked, "key")
 
-    A doc_id that repeats with texts of several components is kept once in each of which it is the smallest.
 
-    Components are those of ``similar_documents`` if a likeness is given, of ``near_duplicates`` otherwise.
+def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] | None = None, **options) -> DataFrame:
+    """One row of each component of ``docs``: the one with the smallest doc_id, any other before those without a doc_id.
+
+    Components are those of ``similar_documents`` if a likeness is given, of ``near_duplicates`` otherwise. Of rows of one
+    component with the same doc_id one stays; a doc_id that repeats in several components stays in each of which it is the
+    smallest. Null and empty texts are one component; texts of any length are read whole; columns keep their names, whatever
+    they are; an empty table gives an empty one.
     """
-    own = docs.columns
-    found = durable(similar_documents(docs, shingle, likeness) if likeness else near_duplicates(docs, shingle=shingle, **options), "found")
-    n, fp = column_name(docs, "_n"), column_name(docs, "_fp")
-    # One fingerprint of each component, of a row that has its smallest doc_id; a repeated doc_id may be in several components.
-    kept = durable(found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias(fp)).select("doc_id", fp), "kept")
-    repeated = durable(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    first = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*own)
-    of_text = F.udf(lambda t: _shingle_set(_hashed(t, shingle))[0] if likeness else (fingerprint(t, shingle) ^ 1 << 63) - (1 << 63), "long")
-    if not repeated.isEmpty():
-        several = first.join(repeated, "doc_id", "left_semi").withColumn(fp, of_text("text")).join(kept, ["doc_id", fp], "left_semi")
-        several = several.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy("text"))).where(F.col(n) == 1)
-        first = first.join(repeated, "doc_id", "left_anti").select(*own).unionByName(several.select(*own))
-    alone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias(fp)).select(fp)
-    if alone.isEmpty():
-        return first
-    # Rows without a doc_id can only be told by their texts.
-    nameless = docs.where("doc_id is null").withColumn(fp, of_text("text")).join(alone, fp, "left_semi")
-    nameless = nameless.withColumn(n, F.row_number().over(Window.partitionBy(fp).orderBy("text")))
-    return first.unionByName(nameless.where(F.col(n) == 1).select(*own))
+    own, row = docs.columns, column_name(docs, "_row")
+    stored = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = stored.select("doc_id", "text", F.col(row).alias("row"))
+    found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, **options), "found")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    gone = durable(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    return stored.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti").select(*own)

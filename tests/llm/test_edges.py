@@ -140,8 +140,13 @@ def test_set_join_is_exact(spark, monkeypatch, frequent):
     t = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "key long, members array<long>")
     root = plain_components(sets)
     want = {k: r for k, r in root.items() if sum(x == r for x in root.values()) > 1}
+    order = setjoin.member_order(t.select(F.explode("members").alias("member")))
+    prefixes = t.where("size(members) > 0").select(F.explode(setjoin.first_members_column("members", order)).alias("member"), "key", F.size("members").alias("n"))
+    plain = {k: sorted(map(int, setjoin.first_members(np.array(sorted(v)), np.array(order)))) for k, v in sets.items() if v}
+    assert {r["key"]: sorted(r["p"]) for r in prefixes.groupBy("key").agg(F.collect_list("member").alias("p")).collect()} == plain
     for seed in (None, spark.createDataFrame([(0, 1), (5, 90)], "u long, v long")):
-        assert {r["node"]: r["root"] for r in setjoin.similar_components(t, t, seed=seed).collect()} == want
+        got = setjoin.similar_components(prefixes, lambda keys: t.join(keys, "key", "left_semi"), seed=seed)
+        assert {r["node"]: r["root"] for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("kept", [1, 2, 3])
