@@ -175,10 +175,11 @@ def test_pipeline_brute_force(spark, sf_dir, docs):
     model = langid.fit_languages(table)
     kept = [i for i, (_, _, rejected) in zip(docs.index, model.predict(list(docs.text)), strict=True) if not rejected]
     assert len(kept) > 0.97 * len(docs)
-    fps = {i: simhash.fingerprint(docs.text[i]) for i in kept}
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", docs.text[i].encode().lower()) for i in kept}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or {b" ".join(w)} for i, w in words.items()}
     component = {i: i for i in kept}
     for _ in kept:
-        new = {a: min(component[b] for b in kept if (fps[a] ^ fps[b]).bit_count() <= 3) for a in kept}
+        new = {a: min(component[b] for b in kept if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) for a in kept}
         if new == component:
             break
         component = new
