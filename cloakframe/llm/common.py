@@ -80,13 +80,16 @@ BROADCAST_ROWS = 100_000
 HEAVY = 2000
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, n: int | None = None, heavy: int | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: int | None = None, heavy: int | None = None, small: int | None = None) -> DataFrame:
     """Inner join with a table that has one row for each key, where a key may have a large part of ``left``'s rows.
 
     Heavy keys, fewer than ``HEAVY`` by their definition, are joined by broadcast, so their rows stay where they are; all other
     keys are dealt out. ``left`` should be a stored table; ``n`` is its number of rows if known;
-    a smaller ``heavy`` than ``HEAVY`` keeps the broadcast small where rows of ``right`` are wide.
+    a smaller ``heavy`` than ``HEAVY`` keeps the broadcast small where rows of ``right`` are wide. A narrow ``right`` that is
+    counted to be small is broadcast as a whole, if it is stored: ``small`` is its number of rows.
     """
+    if small is not None and small <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key)
     n = left.count() if n is None else n
     heavy = left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * (heavy or HEAVY) > n).select(key)
     few = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))

@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_unique
+from .common import BROADCAST_ROWS, durable, join_unique
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """``n`` is the number of edges: where twice as many rows may be broadcast, the least neighbours are."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join_unique(both, least, "u", 2 * n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    met = both.join(F.broadcast(least), "u") if 2 * n <= BROADCAST_ROWS else join_unique(both, least, "u", 2 * n)
+    return met.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """The edges come from ``_large_star``, so each node has few smaller neighbours and no key is hot."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     joined = down.join(least, "u")

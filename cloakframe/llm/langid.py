@@ -47,12 +47,12 @@ def counts(text: str | None) -> np.ndarray | None:
     if not folded:
         return None
     b = np.frombuffer(f" {folded} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
-    out = np.zeros(DIMENSIONS, dtype=np.int64)
+    out = np.zeros(DIMENSIONS, dtype=np.int32)
     gram = b.copy()
     for n in range(1, 4):
         if n > 1:
             gram = gram[:-1] * np.uint32(256) + b[n - 1 :]
-        out += np.bincount(((gram + np.uint32(n << 28)) * np.uint32(2654435761)) >> _SHIFT, minlength=DIMENSIONS)
+        out += np.bincount(((gram + np.uint32(n << 28)) * np.uint32(2654435761)) >> _SHIFT, minlength=DIMENSIONS).astype(np.int32)
     return out
 
 
@@ -83,7 +83,7 @@ class LanguageModel:
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf).astype(np.float32) * idf
+    v = np.log1p(tf, dtype=np.float32) * idf
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
@@ -117,7 +117,7 @@ def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, qua
     rows = sorted((lang, t) for lang, t in zip(langs, texts, strict=True) if letters(t))
     if not rows:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), {})
-    tf = np.stack([counts(t) for _, t in rows]).astype(np.int32)
+    tf = np.stack([counts(t) for _, t in rows])
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
     v, own = vectors(tf, idf), np.array([lang for lang, _ in rows])
     long_enough = np.array([letters(t) >= MIN_LETTERS for _, t in rows])

@@ -69,11 +69,10 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _sets(shingle: int, likeness: tuple[int, int], order: list[int]):
+def _sets(shingle: int, likeness: tuple[int, int], places: np.ndarray):
     """(doc_id, row, text) -> doc_id, row, the set's key, size and prefix, and the fingerprint, of one hashing of each text."""
 
     def run(batches):
-        places = np.array(order)
         for batch in batches:
             keys, fps, sizes, prefixes = [], [], [], []
             for t in batch.column("text"):
@@ -268,7 +267,8 @@ def _with_components(own: DataFrame, classes: DataFrame, linked: DataFrame, key:
     A component's least doc_id goes to its members by ``join_unique``, as one component may hold most keys.
     """
     members = durable(linked.join(classes, linked["node"] == classes[key]).select(F.col("node").alias(key), "root", "first_id"), "members")
-    members = join_unique(members.select(key, "root"), members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
+    n = members.count()
+    members = join_unique(members.select(key, "root"), members.groupBy("root").agg(F.min("first_id").alias("component_id")), "root", n, small=n)
     by_class = classes.join(members, key, "left").select(key, F.coalesce("root", key).alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
     return join_unique(own.select("doc_id", "row", key), durable(by_class, "components"), key).select("doc_id", "row", F.col(key).alias("fp"), "root", "component_id")
 
@@ -289,11 +289,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, in
     n = docs.select("row").count()
     some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     order = member_order(some.mapInArrow(_sampled_members(shingle), "member long"))
-    own = durable(docs.select("doc_id", "row", "text").mapInArrow(_sets(shingle, likeness, order), f"doc_id {kind}, row long, key long, fp long, n int, prefix array<long>"), "set-keys")
+    own = durable(docs.select("doc_id", "row", "text").mapInArrow(_sets(shingle, likeness, np.array(order, dtype=np.int32)), f"doc_id {kind}, row long, key long, fp long, n int, prefix array<long>"), "set-keys")
     classes = durable(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("row").alias("row")), "classes")
     near = classes.join(link_fingerprints(classes.select("fp").distinct()).withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("near"))
     near = durable(near, "near")
-    seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near").select(F.col("key").alias("u"), "v")
+    n = near.count()
+    seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near", n, small=n).select(F.col("key").alias("u"), "v")
     # One row of each set goes on; its prefix is there already.
     firsts = own.join(classes.select("key", "row"), ["key", "row"], "left_semi")
     prefixes = firsts.select(F.explode("prefix").alias("member"), "key", "n")

@@ -13,6 +13,8 @@ import xxhash
 import corpus_pipeline
 from cloakframe.llm import langid, packing, quality, queries, secret_scan, simhash, spotsigs, toxicity
 
+from .test_edges import plain_components  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -96,9 +98,8 @@ def test_op5_reads_back_what_the_tokenizer_gives(spark, sf_dir, docs):
         start += len(ids)
 
 
-def plain_signatures(text):
+def plain_signatures(text, anchors):
     w = [x for x in re.sub(r"[^\w]|_", " ", (text or "").lower()).split(" ") if x]
-    anchors = set(quality.VOCABULARY)
     out = set()
     for i, x in enumerate(w):
         chain = [y for y in w[i + 1 :] if y not in anchors][: spotsigs.CHAIN] if x in anchors else []
@@ -112,12 +113,15 @@ def plain_signatures(text):
 
 def test_op6_brute_force(spark, sf_dir, docs):
     got, ids = rows(spark, sf_dir, "op6_spotsigs"), list(docs.index)
+    anchors = set(spotsigs.corpus_anchors(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    sets = {i: plain_signatures(t, anchors) for i, t in docs.text.items()}
+    assert {i: r.class_id for i, r in got.items()} == plain_components(sets)
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for n, i in enumerate(ids):
         text, after, r = docs.text[i] or "", docs.text[ids[(n + 1) % len(ids)]] or "", got[i]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        a, b, c = map(plain_signatures, (text, edited, after))
+        a, b, c = (plain_signatures(t, anchors) for t in (text, edited, after))
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == "".join(f"{x:08x}" for x in sorted(a)) and r.edited_fingerprint == "".join(f"{x:08x}" for x in sorted(b))
         assert (r.near_edited, r.near_next) == pytest.approx((jaccard(a, b), jaccard(a, c)))
