@@ -39,10 +39,10 @@ _QUOTES = "\"“”„«»"
 WINDOW, NEAR = 60, 5
 #: Log-odds of quotation: at first, for marks around a hit, for each reporting word (two at most), for an addressing word.
 QUOTATION = (-3.0, 5.0, 2.5, -1.5)
-#: Share of learned terms that may be chance.
-FALSE_TERMS = 0.05
+#: Share of learned terms that may be chance, and how many times likelier a term must be in toxic texts.
+FALSE_TERMS, LIFT = 0.05, 10.0
 #: Log-odds of a term of full strength, and parts of the labelled texts of which each is held out once to fit weights.
-FULL, FOLDS = 4.0, 4
+FULL, FOLDS = 4.0, 2
 #: Least word hashes by which near copies are known in the sample.
 SKETCH = 8
 #: Letters of a stem.
@@ -53,7 +53,7 @@ MAX_STATES = 100_000
 
 def budget(term: str) -> int:
     """Edits that a term tolerates; stems none."""
-    return 0 if len(term) < 4 or term.endswith("*") else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 4 or term.endswith("*") else 1 if len(term) < 10 else 2
 
 
 class FuzzyLexicon:
@@ -246,8 +246,8 @@ def _unlikely(counts: tuple[Counter, Counter], rate: float) -> dict[str, float]:
 def learn(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float], Counter]:
     """Terms and stems that are likelier in toxic texts than chance allows, with their strengths, and how many clean texts have each word.
 
-    Copies and near copies count once, as their words aren't evidence of their own. Words that begin with a learned stem and
-    are no likelier in clean texts become terms beside it, so that their misspellings are found too. A strength is a term's
+    Copies and near copies count once, as their words aren't evidence of their own. Words of several toxic texts that begin with a learned stem
+    and are no likelier in clean texts become terms beside it, so that their misspellings are found too. A strength is a term's
     log-odds, shrunk by half a text of either kind, over ``FULL``.
     """
     sketches: dict[int, int] = {}  # the least hashes of a text's words -> the text they came from
@@ -267,16 +267,20 @@ def learn(texts: list[str | None], toxic: list[int]) -> tuple[dict[str, float],
     if not all(totals):
         return {}, words[0]
     rate = totals[1] / sum(totals)
-    found = set(_unlikely(words, rate))
+
+    def odds(counts: tuple[Counter, Counter], t: str) -> float:
+        return math.log((counts[1][t] + 0.5) / (totals[1] + 1)) - math.log((counts[0][t] + 0.5) / (totals[0] + 1))
+
+    found = {w: x for w in _unlikely(words, rate) if (x := odds(words, w)) >= math.log(LIFT)}
     chosen: list[str] = []
-    for s, _ in sorted(_unlikely(stems, rate).items(), key=lambda x: (x[1], -len(x[0]), x[0])):
+    for s, _ in sorted(((s, p) for s, p in _unlikely(stems, rate).items() if odds(stems, s) >= math.log(LIFT)), key=lambda x: (x[1], -len(x[0]), x[0])):
         # Of stems within one another the likeliest stays.
         if not any(s[:-1].startswith(c[:-1]) or c[:-1].startswith(s[:-1]) for c in chosen):
             chosen.append(s)
-    found |= {w for w, k in words[1].items() if k * totals[0] > words[0][w] * totals[1] and any(w.startswith(s[:-1]) for s in chosen)}
-    toxic_in, clean_in = words[1] + stems[1], words[0] + stems[0]
-    odds = {t: math.log((toxic_in[t] + 0.5) / (totals[1] + 1)) - math.log((clean_in[t] + 0.5) / (totals[0] + 1)) for t in (*found, *chosen)}
-    return {t: max(0.0, x) / FULL for t, x in odds.items()}, words[0]
+    begun_by = tuple(s[:-1] for s in chosen)
+    found |= {w: odds(words, w) for w, k in words[1].items() if k > 1 and k * totals[0] > words[0][w] * totals[1] and w.startswith(begun_by)}
+    found |= {s: odds(stems, s) for s in chosen}
+    return {t: max(0.0, x) / FULL for t, x in found.items()}, words[0]
 
 
 def _model(texts: list[str | None], toxic: list[int], seeds) -> ToxicityModel:
