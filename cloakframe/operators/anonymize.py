@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import is_blank
-from ..sources.tables import sized, union_all
+from ..sources.tables import is_small, union_all
 from ..types import ALIAS_PREFIX, ENTITY_FIELDS, IDENTIFIER_FIELDS, PSEUDONYMIZABLE, TOKEN_PREFIX, FieldRule, MissingIdentifierMapError, RuleConfigurationError, UnsupportedTargetError
 from . import guards, maps
 from .keys import with_keys
@@ -105,20 +105,39 @@ def extend_identifier_map(identifier_map: DataFrame, sheets: list[Sheet], **opti
     return maps.append(identifier_map, rows, "identifier", [F.col("_first")], stored=True)
 
 
+def _keys_of(sheet: Sheet, entity_map: DataFrame, identifier_map: DataFrame | None) -> tuple[DataFrame, bool]:
+    """(value, type, key) of all keys that the sheet's types can have, and whether they're few."""
+    parts = []
+    for fields, table, key, value, kind in ((ENTITY_FIELDS, entity_map, "alias", "real_value", "entity_type"), (IDENTIFIER_FIELDS, identifier_map, "token", "identifier_value", "identifier_type")):
+        types = sorted({t for _, _, t in _wanted(sheet, fields)})
+        if types:
+            source = table.where("parent_alias is null") if key == "alias" else table
+            parts.append(source.where(F.col(kind).isin(*types)).select(F.col(value).alias("value"), F.col(kind).alias("type"), F.col(key).alias("key")))
+    keys = union_all(parts)
+    return keys, is_small(keys)
+
+
 def project(sheet: Sheet, entity_map: DataFrame, identifier_map: DataFrame | None) -> DataFrame:
-    """The sheet's rows with every column kept, emptied or replaced by keys; blanks stay as they are."""
-    out = sheet.table
-    columns = guards.data_columns(sheet.table)
-    entity, ident = _wanted(sheet, ENTITY_FIELDS), _wanted(sheet, IDENTIFIER_FIELDS)
+    """The sheet's rows with every column kept, emptied or replaced by keys; blanks stay as they are.
+
+    Few keys are broadcast to each column. Many are joined once for all columns, with the cells that aren't blank in long
+    form; keys then go back to their rows, so the wide table moves once however many columns there are.
+    """
+    out, columns, wanted = sheet.table, guards.data_columns(sheet.table), _wanted(sheet, PSEUDONYMIZABLE)
     made: dict[int, Column] = {}
-    for wanted, table, key, value, kind in ((entity, entity_map, "alias", "real_value", "entity_type"), (ident, identifier_map, "token", "identifier_value", "identifier_type")):
-        if wanted:
-            source = table.where("parent_alias is null") if key == "alias" else table
+    if wanted:
+        keys, few = _keys_of(sheet, entity_map, identifier_map)
+        if few:
             for i, c, t in wanted:
-                side = sized(source.where(F.col(kind) == t).select(F.col(value).alias(f"v{i}"), F.col(key).alias(f"k{i}")))
-                out = out.join(side, F.col(c).cast("string") == F.col(f"v{i}"), "left")
-                # A cell that isn't blank has a key by now; blanks pass through.
-                made[i] = F.when(is_blank(F.col(c)), F.col(c).cast("string")).otherwise(F.col(f"k{i}"))
+                side = keys.where(F.col("type") == t).select(F.col("value").alias(f"v{i}"), F.col("key").alias(f"k{i}"))
+                out = out.join(F.broadcast(side), F.col(c).cast("string") == F.col(f"v{i}"), "left")
+        else:
+            cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value"), F.lit(t).alias("type")) for i, c, t in wanted])
+            long = out.select("row", F.explode(F.filter(cells, lambda x: ~is_blank(x["value"]))).alias("x")).select("row", "x.*")
+            by_row = long.join(keys, ["value", "type"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("column", "key"))).alias("_keys"))
+            out = out.join(by_row, "row", "left").withColumns({f"k{i}": F.col("_keys")[i] for i, _, _ in wanted}).drop("_keys")
+        # A cell that isn't blank has a key by now; blanks pass through.
+        made = {i: F.when(is_blank(F.col(c)), F.col(c).cast("string")).otherwise(F.col(f"k{i}")) for i, c, _ in wanted}
     chosen = []
     for i, (c, _) in enumerate(columns, 1):
         action = sheet.rules[i].action.value
@@ -138,7 +157,7 @@ def provenance_of(sheet: Sheet, projected: DataFrame, job_id: str) -> DataFrame
         return F.lit("string" if kinds[c] == "string" else "integer") if kind is None else F.when(kind == "int", "integer").otherwise("string")
 
     cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("token"), representation(c).alias("representation")) for i, c, _ in wanted])
-    rows = projected.select(F.col("row").cast("int").alias("row"), F.explode(cells).alias("x")).where(~is_blank(F.col("x.token")))
+    rows = projected.select(F.col("row").cast("long").alias("row"), F.explode(cells).alias("x")).where(~is_blank(F.col("x.token")))
     return rows.select(F.lit(job_id).alias("job_id"), F.lit(sheet.name).alias("sheet_name"), "row", F.col("x.column"), F.col("x.token"), F.col("x.representation"))
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import part_kind
-from ..sources.tables import sized
+from ..sources.tables import sized, store
 from ..types import BLOCKING_KINDS, FINDING_KINDS
 
 #: Details kept for each kind; counts go on.
 DETAILS = 100
-FINDINGS = "kind string, phase int, worksheet_index int, row int, column int, part string"
+FINDINGS = "kind string, phase int, worksheet_index int, row long, column int, part string"
 _COLUMNS = ["kind", "phase", "worksheet_index", "row", "column", "part"]
 
 
@@ -27,7 +27,7 @@ def kind_place(kind: str = "kind") -> Column:
 def _finding(df: DataFrame, kind, phase: int, **at) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     null = F.lit(None).cast("int")
-    return df.select(kind.alias("kind"), F.lit(phase).alias("phase"), *[at.get(c, null).cast("int").alias(c) for c in ("worksheet_index", "row", "column")], at.get("part", F.lit(None).cast("string")).cast("string").alias("part"))
+    return df.select(kind.alias("kind"), F.lit(phase).alias("phase"), *[at.get(c, null).cast("long" if c == "row" else "int").alias(c) for c in ("worksheet_index", "row", "column")], at.get("part", F.lit(None).cast("string")).cast("string").alias("part"))
 
 
 def known_values(entity_map: DataFrame | None, identifier_map: DataFrame | None) -> DataFrame:
@@ -92,6 +92,7 @@ def details(findings: DataFrame, most: int = DETAILS) -> DataFrame:
 
     Each partition first keeps its own first ones, so one kind with most of the rows doesn't meet in one task.
     """
+    findings = store(findings, "findings")  # read twice
     order = [F.col(c).asc_nulls_first() for c in ("phase", "worksheet_index", "row", "column", "part")]
     own = Window.partitionBy("kind", "_part").orderBy(*order)
     first = findings.withColumn("_part", F.pmod(F.xxhash64("worksheet_index", "row", "column", "part"), F.lit(256))).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n", "_part")

@@ -11,12 +11,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import store
+from ..sources.tables import is_small, store
 from ..types import AmbiguousMappingError, IdentifierConflictError, MapConflictError, ProvenanceConflictError
 
 ENTITY_MAP = "seq long, alias string, real_value string, entity_type string, parent_alias string"
 IDENTIFIER_MAP = "seq long, token string, identifier_value string, identifier_type string"
-PROVENANCE = "job_id string, sheet_name string, row int, column int, token string, representation string"
+PROVENANCE = "job_id string, sheet_name string, row long, column int, token string, representation string"
 
 #: key columns, identity columns and the error of each map
 SHAPES = {
@@ -25,6 +25,8 @@ SHAPES = {
     "provenance": (["job_id", "sheet_name", "row", "column"], ["token", "representation"], ProvenanceConflictError),
 }
 UNSET = object()
+#: Keys of a range of a digest.
+RANGE = 1 << 16
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -34,16 +36,25 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 def conflicts(additions: DataFrame, existing: DataFrame, shape: str) -> DataFrame:
     """(side, n): keys with several partners ("key") and, for maps, identities with several keys ("identity")."""
     keys, identity, _ = SHAPES[shape]
-    both = additions.select(*keys, *identity).union(existing.select(*keys, *identity)).distinct()
-    sides = [("key", keys)] if shape == "provenance" else [("key", keys), ("identity", identity)]
-    parts = [both.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n") for side, by in sides]
+    new = additions.select(*keys, *identity)
+    wanted = is_small(new)
+
+    def part(side: str, by: list[str]) -> DataFrame:
+        # Of the map only entries that share the key or identity with an addition matter.
+        at = new.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+        old = existing.select(*keys, *identity).join(F.broadcast(at) if wanted else at, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left_semi")
+        both = new.union(old).distinct()
+        return both.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+
+    parts = [part(*side) for side in ([("key", keys)] if shape == "provenance" else [("key", keys), ("identity", identity)])]
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
 def append(existing: DataFrame, additions: DataFrame, shape: str, order: list[Column] | None = None, stored: bool = False) -> DataFrame:
     """The map with the additions that it doesn't hold yet, numbered in ``order``; raises on any conflict, and then nothing is added.
 
-    ``stored`` says that the additions are distinct and have one state already.
+    ``stored`` says that the additions are distinct and have one state already. What is added is written, the map isn't
+    written again: the result reads both.
     """
     keys, identity, error = SHAPES[shape]
     additions = additions if stored else store(additions.distinct() if order is None else additions, "additions")
@@ -53,10 +64,10 @@ def append(existing: DataFrame, additions: DataFrame, shape: str, order: list[Co
     old = existing.select(*[F.col(c).alias(f"old_{c}") for c in both])
     fresh = additions.join(old, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in both], "left_anti")
     if shape == "provenance":
-        return store(existing.unionByName(fresh.select(*existing.columns).distinct()), "provenance")
+        return existing.unionByName(store(fresh.select(*existing.columns).distinct(), "provenance"))
     last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
     fresh = number(fresh.select(*both, *(["_first"] if "_first" in fresh.columns else [])), order or [F.col(c) for c in keys], last)
-    return existing if fresh is None else store(existing.unionByName(fresh.select(*existing.columns)), f"{shape}-map")
+    return existing if fresh is None else existing.unionByName(store(fresh.select(*existing.columns), f"{shape}-map"))
 
 
 def number(rows: DataFrame, order: list[Column], after: int) -> DataFrame | None:
@@ -116,18 +127,16 @@ def digest_header(domain: bytes, n: int) -> bytes:
 
 
 def prefix_digest(entries: DataFrame, key: str, domain: bytes, n: int | None = None) -> str:
-    """SHA-256 over domain, count and the first ``n`` keys by seq, each with its length; keys stream through the driver in order."""
+    """SHA-256 over domain, count and the digests of ranges of ``RANGE`` keys by seq, up to the ``n``-th key.
+
+    A range's digest is the SHA-256 over its keys in order, each with its length as eight bytes. Ranges are hashed where the
+    rows are; one digest a range goes through the driver.
+    """
     n = entries.count() if n is None else n
+    item = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(key)), 16, "0")), F.encode(key, "UTF-8"))
+    ranges = entries.where(F.col("seq") <= n).groupBy(F.floor((F.col("seq") - 1) / RANGE).alias("range")).agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"))
+    joined = F.unhex(F.array_join(F.transform("items", lambda x: F.hex(x["item"])), ""))
     h = hashlib.sha256(digest_header(domain, n))
-    for r in entries.where(F.col("seq") <= n).select("seq", key).orderBy("seq").toLocalIterator():
-        raw = r[key].encode()
-        h.update(len(raw).to_bytes(8, "big") + raw)
+    for r in ranges.select("range", F.unhex(F.sha2(joined, 256)).alias("digest")).orderBy("range").toLocalIterator():
+        h.update(bytes(r["digest"]))
     return h.hexdigest()
-
-
-def prefix_digest_column(key: str, domain: bytes) -> Column:
-    """The same digest of all keys of a group as an aggregate; the group's keys meet in one row, so it is for small maps."""
-    item = F.concat(F.lpad(F.hex(F.octet_length(key)), 16, "0"), F.hex(F.encode(key, "UTF-8")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("h")))), lambda x: x["h"]), "")
-    head = F.concat(F.lit((len(domain).to_bytes(8, "big") + domain).hex()), F.lpad(F.hex(F.count("*")), 16, "0"))
-    return F.sha2(F.unhex(F.concat(head, body)), 256)

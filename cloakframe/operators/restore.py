@@ -11,6 +11,8 @@ from ..functions.identifiers import is_blank, is_formula
 from ..sources.tables import sized
 from ..types import AmbiguousRestoreError, RestoreValidationError, UnresolvedRestoreError
 
+#: What every alias and token looks like; other texts aren't looked up.
+KEY_SHAPE = r"^[A-Z]+_[0-9A-Z]+\z"
 #: Why a recorded coordinate can't be restored, in the order in which it is tested.
 COORDINATE_REASONS = ("unknown_sheet", "out_of_bounds", "merged_child", "token_mismatch", "unknown_token", "not_an_integer")
 
@@ -51,7 +53,7 @@ def resolve_identifiers(cells: DataFrame, provenance: DataFrame, identifier_map:
 def resolve_entities(cells: DataFrame, provenance: DataFrame, entity_map: DataFrame) -> DataFrame:
     """(sheet_name, row, column, value): every text cell outside the recorded coordinates that is exactly an alias, headers included."""
     at = ["sheet_name", "row", "column"]
-    eligible = cells.where(F.col("s").isNotNull() & ~F.col("is_merged_child") & ~is_formula(F.col("s")) & ~is_blank(F.col("s")) & (F.col("kind") == "str"))
+    eligible = cells.where(F.col("s").rlike(KEY_SHAPE) & ~F.col("is_merged_child") & ~is_formula(F.col("s")) & ~is_blank(F.col("s")) & (F.col("kind") == "str"))
     return eligible.join(provenance.select(*at), at, "left_anti").join(sized(entity_map.select(F.col("alias").alias("s"), F.col("real_value").alias("value"))), "s").select(*at, "value")
 
 
@@ -92,14 +94,15 @@ class AnalyticalCounts:
 def restored_values(table: DataFrame, columns: list[str], entity_map: DataFrame | None, identifier_map: DataFrame | None) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
     """Left joins of text columns with both maps; for each column the value by alias and by token, null where there is none."""
     out, hits = table, {}
+    maps = [(m if m is None else sized(m.select(key, value)), key, value) for m, key, value in ((entity_map, "alias", "real_value"), (identifier_map, "token", "identifier_value"))]
     for n, c in enumerate(columns):
-        cell = F.when(is_blank(F.col(c)) | is_formula(F.col(c)), None).otherwise(F.col(c))
+        cell = F.when(F.col(c).rlike(KEY_SHAPE), F.col(c))
         found = []
-        for m, key, value in ((entity_map, "alias", "real_value"), (identifier_map, "token", "identifier_value")):
+        for m, key, value in maps:
             if m is None:
                 found.append(F.lit(None).cast("string"))
             else:
-                side = sized(m.select(F.col(key).alias(f"_k{key}{n}"), F.col(value).alias(f"_v{key}{n}")))
+                side = m.select(F.col(key).alias(f"_k{key}{n}"), F.col(value).alias(f"_v{key}{n}"))
                 out = out.join(side, cell == F.col(f"_k{key}{n}"), "left")
                 found.append(F.col(f"_v{key}{n}"))
         hits[c] = (found[0], found[1])

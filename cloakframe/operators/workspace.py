@@ -1,6 +1,7 @@
 """The workspace: identity maps with a manifest that commits to them, artifacts with lineage, and backups.
 
-Maps are parquet tables, one folder for each version; the manifest names the version by its counts and digests. A mutation
+Maps are parquet tables with sealed strings, one folder for each version; their key is in the
+encrypted manifest, which names the version by its counts and digests. A mutation
 sets the pending flag, appends, proves that the old map is a prefix of the new one, and clears the flag.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import manifest as mf
 from ..sources.manifest import Artifact, Manifest, StoreState
+from ..sources.sealed import seal, sealed_schema, unseal
 from ..sources.xlsx import publish
 from ..types import WorkspaceError
 from . import maps, registry
@@ -62,6 +64,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, folder: str, password: str):
         self.spark, self.folder, self.password = spark, folder.rstrip("/"), password
+        self._key: bytes | None = None
+
+    def _store_key(self) -> bytes:
+        """The key of the stores, from the encrypted manifest."""
+        if self._key is None:
+            self._key = bytes.fromhex(self.manifest().store_key)
+        return self._key
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, password: str) -> Workspace:
@@ -72,11 +81,11 @@ class Workspace:
         for d in ("stores", "artifacts", "provenance", "backups"):
             os.makedirs(f"{folder}/{d}", exist_ok=True)
         ws = cls(spark, folder, password)
-        states = {}
+        ws._key, states = secrets.token_bytes(32), {}
         for name in KEYS:
             ws._write(name, maps.empty(spark, SCHEMAS[name]), 0)
             states[name] = StoreState(0, maps.prefix_digest(maps.empty(spark, SCHEMAS[name]), KEYS[name], DOMAINS[name]))
-        ws._save(Manifest(secrets.token_hex(16), **states))
+        ws._save(Manifest(secrets.token_hex(16), **states, store_key=ws._key.hex()))
         return ws
 
     @classmethod
@@ -105,7 +114,7 @@ class Workspace:
         mf.save(self.spark, m, f"{self.folder}/manifest.bin", self.password)
 
     def _write(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"file://{os.path.abspath(self.folder)}/stores/{name}-{version:08d}")
+        seal(df, self._store_key()).write.mode("overwrite").parquet(f"file://{os.path.abspath(self.folder)}/stores/{name}-{version:08d}")
 
     def _versions(self, name: str) -> list[int]:
         return sorted(int(m[1]) for d in os.listdir(f"{self.folder}/stores") if (m := re.fullmatch(rf"{name}-([0-9]{{8}})", d)) and os.path.exists(f"{self.folder}/stores/{d}/_SUCCESS"))
@@ -115,7 +124,9 @@ class Workspace:
         versions = self._versions(name)
         if not versions:
             raise WorkspaceError("store_missing")
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"file://{os.path.abspath(self.folder)}/stores/{name}-{versions[-1]:08d}")
+        schema = maps.empty(self.spark, SCHEMAS[name]).schema
+        stored = self.spark.read.schema(sealed_schema(schema)).parquet(f"file://{os.path.abspath(self.folder)}/stores/{name}-{versions[-1]:08d}")
+        return unseal(stored, schema, self._store_key())
 
     def state_of(self, name: str, df: DataFrame | None = None) -> StoreState:
         df = self.read(name) if df is None else df

@@ -48,6 +48,8 @@ class Manifest:
     identifier: StoreState = field(default_factory=StoreState)
     artifacts: tuple[Artifact, ...] = ()
     latest_analytical: str | None = None
+    #: What the stores' strings are sealed with, in hex.
+    store_key: str = ""
 
     def next(self, **changes) -> Manifest:
         return replace(self, revision=self.revision + 1, **changes)
@@ -89,9 +91,9 @@ def parse(data: bytes) -> Manifest:
         if not isinstance(a, dict) or set(a) != set(Artifact.__dataclass_fields__) or a["kind"] not in ARTIFACT_KINDS or not re.fullmatch("[0-9a-f]{64}", a["sha256"]):
             raise WorkspaceError("manifest_artifact")
         artifacts.append(Artifact(**{**a, "parent_artifact_ids": tuple(a["parent_artifact_ids"])}))
-    if type(d["revision"]) is not int or d["revision"] < 0 or not isinstance(d["pending"], bool):
+    if type(d["revision"]) is not int or d["revision"] < 0 or not isinstance(d["pending"], bool) or not isinstance(d["store_key"], str) or not re.fullmatch("([0-9a-f]{64})?", d["store_key"]):
         raise WorkspaceError("manifest_keys")
-    return Manifest(d["workspace_id"], d["revision"], d["pending"], **states, artifacts=tuple(artifacts), latest_analytical=d["latest_analytical"])
+    return Manifest(d["workspace_id"], d["revision"], d["pending"], **states, artifacts=tuple(artifacts), latest_analytical=d["latest_analytical"], store_key=d["store_key"])
 
 
 def save(spark: SparkSession, m: Manifest, path: str, password: str, **options) -> None:

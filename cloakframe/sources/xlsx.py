@@ -286,7 +286,7 @@ class _XlsxReader(DataSourceReader):
 
 
 PROPERTIES = "scope string, name string, value string"
-EXTRAS = "kind string, phase int, worksheet_index int, row int, column int, part string"
+EXTRAS = "kind string, phase int, worksheet_index int, row long, column int, part string"
 PARTS = "name string, bytes long, compressed long"
 
 
@@ -358,6 +358,93 @@ def _set(c: ET.Element, v: object) -> None:
         t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
 
 
+#: What a published worksheet keeps, in this order, and the attributes of a cell.
+PUBLISHED_ELEMENTS = ("dimension", "sheetViews", "sheetFormatPr", "cols", "sheetData", "mergeCells", "printOptions", "pageMargins")
+CELL_ATTRIBUTES = ("r", "s", "t")
+#: The format's main content type.
+MAIN_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+def published(package: Package, drop: Iterable[str] = ()) -> Package:
+    """A new package of a closed list of parts: the sheets without those in ``drop``, the styles, and the texts that cells still refer to.
+
+    Whatever may hold a copy of a cell's value stays behind: shared strings of cells that were overwritten, cached results of
+    formulas, comments, charts, pivot caches, names, links, validations, formats, headers and document properties.
+    """
+    drop = set(drop)
+    kept = [s for s in package.sheets if s.title not in drop]
+    strings, places, parts = package.strings(), {}, {}
+    for i, s in enumerate(kept, 1):
+        x, root = package.xml(s.part), ET.Element(tag("worksheet"))
+        for name in PUBLISHED_ELEMENTS:
+            root.extend(x.findall(tag(name)))
+        for view in root.iter(tag("sheetView")):
+            for child in [c for c in view if c.tag != tag("pane")]:
+                view.remove(child)
+        for row in root.iter(tag("row")):
+            for child in [c for c in row if c.tag != tag("c")]:
+                row.remove(child)
+        for c in root.iter(tag("c")):
+            _publish_cell(c, strings, places)
+        parts[f"xl/worksheets/sheet{i}.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    styles = next((package.parts[p] for p in package.related(package.workbook_part(), "styles")), None)
+    return Package.load(Package(assembled(parts, [(s.title, s.state) for s in kept], styles, list(places))).save())
+
+
+def _publish_cell(c: ET.Element, strings: list[str], places: dict[str, int]) -> None:
+    """A cell of value and formula alone; texts go to the shared strings, which ``places`` numbers."""
+    kind, formula = c.get("t") or "n", c.find(tag("f"))
+    text = None
+    if formula is None and kind == "s" and c.findtext(tag("v")) is not None:
+        text = strings[int(c.findtext(tag("v")))]
+    elif formula is None and kind == "inlineStr" and c.find(tag("is")) is not None:
+        text = _text(c.find(tag("is")))
+    for child in list(c):
+        if child.tag != tag("f") and (child.tag != tag("v") or formula is not None or text is not None):
+            c.remove(child)
+    for a in set(c.attrib) - set(CELL_ATTRIBUTES):
+        del c.attrib[a]
+    if formula is not None:
+        c.attrib.pop("t", None)
+    elif text is not None:
+        c.set("t", "s")
+        ET.SubElement(c, tag("v")).text = str(places.setdefault(text, len(places)))
+    elif kind in ("s", "inlineStr"):
+        c.attrib.pop("t", None)
+
+
+def assembled(sheets: dict[str, bytes], titles: list[tuple[str, str]], styles: bytes | None, texts: list[str]) -> dict[str, bytes]:
+    """The parts of a package around its sheets, which are numbered from one."""
+    parts, listed, rels, types = dict(sheets), "", "", ""
+
+    def add(kind: str, target: str, content: str) -> str:
+        nonlocal rels, types
+        rid = f"rId{rels.count('<Relationship ') + 1}"
+        rels += f'<Relationship Id="{rid}" Type="{OFFICE_REL}/{kind}" Target="{target}"/>'
+        types += f'<Override PartName="/xl/{target}" ContentType="{MAIN_TYPE}.{content}+xml"/>'
+        return rid
+
+    for i, (title, state) in enumerate(titles, 1):
+        rid = add("worksheet", f"worksheets/sheet{i}.xml", "worksheet")
+        e = ET.Element("sheet", {"name": title, "sheetId": str(i), **({} if state == "visible" else {"state": state})})
+        listed += ET.tostring(e, encoding="unicode").removesuffix("/>") + f' r:id="{rid}"/>'
+    if styles is not None:
+        add("styles", "styles.xml", "styles")
+        parts["xl/styles.xml"] = styles
+    if texts:
+        add("sharedStrings", "sharedStrings.xml", "sharedStrings")
+        root = ET.Element(tag("sst"))
+        for t in texts:
+            e = ET.SubElement(ET.SubElement(root, tag("si")), tag("t"), {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+            e.text = t
+        parts["xl/sharedStrings.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    parts["xl/workbook.xml"] = f'<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_REL}"><sheets>{listed}</sheets></workbook>'.encode()
+    parts["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="{PACKAGE_REL}">{rels}</Relationships>'.encode()
+    parts["_rels/.rels"] = f'<Relationships xmlns="{PACKAGE_REL}"><Relationship Id="rId1" Type="{OFFICE_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>'.encode()
+    parts["[Content_Types].xml"] = f'<Types xmlns="{TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{MAIN_TYPE}.sheet.main+xml"/>{types}</Types>'.encode()
+    return parts
+
+
 def with_property(package: Package, name: str, value: str, drop: tuple[str, ...] = ()) -> Package:
     """A copy with exactly one custom property of that name; those in ``drop`` go."""
     out = Package(dict(package.parts), package.sheets)
@@ -381,9 +468,8 @@ def with_property(package: Package, name: str, value: str, drop: tuple[str, ...]
 
 def new_package(sheets: dict[str, list[list]], states: dict[str, str] | None = None) -> Package:
     """A plain package of rows of values, for results that have no source file."""
-    main = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts, listed, rels, types = {}, "", "", ""
-    for i, (title, rows) in enumerate(sheets.items(), 1):
+    parts = {}
+    for i, rows in enumerate(sheets.values(), 1):
         root = ET.Element(tag("worksheet"))
         data = ET.SubElement(root, tag("sheetData"))
         for r, values in enumerate(rows, 1):
@@ -397,18 +483,8 @@ def new_package(sheets: dict[str, list[list]], states: dict[str, str] | None = N
                 else:
                     _set(c, v)
         parts[f"xl/worksheets/sheet{i}.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
-        state = (states or {}).get(title, "visible")
-        name = ET.tostring(ET.Element("x", {"name": title})).decode()[8:-3]
-        listed += f'<sheet name={name} sheetId="{i}"{"" if state == "visible" else f" state={chr(34)}{state}{chr(34)}"} r:id="rId{i}"/>'
-        rels += f'<Relationship Id="rId{i}" Type="{OFFICE_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>'
-        types += f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{main}.worksheet+xml"/>'
-    n = len(sheets)
-    parts["xl/workbook.xml"] = f'<workbook xmlns="{MAIN}" xmlns:r="{OFFICE_REL}"><sheets>{listed}</sheets></workbook>'.encode()
-    parts["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="{PACKAGE_REL}">{rels}<Relationship Id="rId{n + 1}" Type="{OFFICE_REL}/styles" Target="styles.xml"/></Relationships>'.encode()
-    parts["xl/styles.xml"] = f'<styleSheet xmlns="{MAIN}"><fonts count="1"><font><name val="Calibri"/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'.encode()
-    parts["_rels/.rels"] = f'<Relationships xmlns="{PACKAGE_REL}"><Relationship Id="rId1" Type="{OFFICE_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>'.encode()
-    parts["[Content_Types].xml"] = f'<Types xmlns="{TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{main}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{main}.styles+xml"/>{types}</Types>'.encode()
-    return Package.load(Package(parts).save())
+    styles = f'<styleSheet xmlns="{MAIN}"><fonts count="1"><font><name val="Calibri"/></font></fonts><fills count="1"><fill><patternFill/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    return Package.load(Package(assembled(parts, [(t, (states or {}).get(t, "visible")) for t in sheets], styles.encode(), [])).save())
 
 
 def publish(data: bytes, destination: str, replace: bool = True) -> None:

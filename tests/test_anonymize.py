@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import guards, keys, maps, restore
 from cloakframe.operators.anonymize import Sheet, anonymize, check_rules
+from cloakframe.sources import tables
 from cloakframe.sources.tables import place, positional, to_cells
 from cloakframe.types import (
     Action,
@@ -153,9 +154,15 @@ def test_digest(spark):
     e = spark.createDataFrame([(1, "C_AAAAAAAAA", "x", "company", None), (2, "C_BBBBBBBBB", "y", "company", None)], maps.ENTITY_MAP)
     import hashlib
 
-    want = hashlib.sha256(maps.digest_header(b"d", 2) + b"".join(len(k).to_bytes(8, "big") + k for k in (b"C_AAAAAAAAA", b"C_BBBBBBBBB"))).hexdigest()
-    assert maps.prefix_digest(e, "alias", b"d") == want == e.agg(maps.prefix_digest_column("alias", b"d")).first()[0]
-    assert maps.prefix_digest(e, "alias", b"d", 1) != want
+    item = lambda k: len(k).to_bytes(8, "big") + k
+    ranges = [hashlib.sha256(item(b"C_AAAAAAAAA") + item(b"C_BBBBBBBBB")).digest()]
+    assert maps.prefix_digest(e, "alias", b"d") == hashlib.sha256(maps.digest_header(b"d", 2) + b"".join(ranges)).hexdigest()
+    maps.RANGE, ranges = 1, [hashlib.sha256(item(k)).digest() for k in (b"C_AAAAAAAAA", b"C_BBBBBBBBB")]
+    try:
+        assert maps.prefix_digest(e, "alias", b"d") == hashlib.sha256(maps.digest_header(b"d", 2) + b"".join(ranges)).hexdigest()
+    finally:
+        maps.RANGE = 1 << 16
+    assert maps.prefix_digest(e, "alias", b"d", 1) != maps.prefix_digest(e, "alias", b"d")
 
 
 def test_colliding_keys_are_made_again(spark):
@@ -173,3 +180,28 @@ def test_positional_and_first_violation(spark):
     assert [r.row for r in t.orderBy(place(2)).collect()] == [2, 3, 4]
     v = guards.violations(t, {1: rule("inn", "pseudonymize"), 2: rule("company", "pseudonymize")})
     assert guards.first_violation(v).first() == (2, 1, "invalid")
+
+
+def test_many_keys_are_joined_once(spark, monkeypatch):
+    rows = [(i, f"v{i % 5}" if i % 4 else None, f"v{i % 3}", "7707083893" if i % 2 else " ") for i in range(2, 30)]
+    rules = {1: rule("company", "pseudonymize"), 2: rule("person", "pseudonymize"), 3: rule("inn", "pseudonymize")}
+    s = sheet(spark, rows, "row long, c0001 string, c0002 string, c0003 string", rules)
+    few = run(spark, s)
+    from cloakframe.operators.anonymize import project
+
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    many = project(s, few.entity_map, few.identifier_map)
+    assert sorted(many.collect()) == sorted(few.sheets["s"].collect())
+
+
+def test_scratch_is_sealed(spark, tmp_path, monkeypatch):
+    import pathlib
+
+    monkeypatch.setattr(tables, "scratch", lambda _: f"file://{tmp_path}")
+    done = run(spark, sheet(spark, [(2, "OriginalCompany", "7707083893"), (3, None, None)], "row long, c0001 string, c0002 string", {1: rule("company", "pseudonymize"), 2: rule("inn", "pseudonymize")}))
+    assert sorted(r[0] for r in done.entity_map.select("real_value").collect()) == ["OriginalCompany"] and done.provenance.count() == 1
+    files = [p for p in pathlib.Path(tmp_path).rglob("*") if p.is_file()]
+    content = b"".join(p.read_bytes() for p in files)
+    keys = [done.entity_map.first()["alias"], done.identifier_map.first()["token"]]
+    assert files and not any(x.encode() in content for x in ("OriginalCompany", "7707083893", *keys))
+    assert "OriginalCompany" not in done.entity_map._jdf.queryExecution().toString()

@@ -3,10 +3,10 @@ from datetime import datetime
 
 import pytest
 
-from cloakframe.operators import inspect, maps, scrub
+from cloakframe.operators import grammar, inspect, maps, scrub
 from cloakframe.plans import jobs
 from cloakframe.sources import container, manifest
-from cloakframe.sources.xlsx import JOB_ID, Package, XlsxSource, new_package, publish, reference, split_reference, with_property, with_values
+from cloakframe.sources.xlsx import JOB_ID, Package, XlsxSource, new_package, publish, published, reference, split_reference, with_property, with_values
 from cloakframe.types import Action, ColumnSafetyError, CryptoError, FieldRule, FieldType, IdentifierValueError, JobValidationError, PackageError, RestoreValidationError, WorkspaceError, WriterValidationError
 
 
@@ -172,3 +172,33 @@ def test_orphan_parts_are_refused():
     p.parts["xl/extra.xml"] = b"<a/>"
     with pytest.raises(PackageError):
         scrub.inventory(p)
+
+
+def test_published_workbooks_hold_no_originals(spark, tmp_path):
+    a, b = str(tmp_path / "a.xlsx"), str(tmp_path / "b.xlsx")
+    p = published(new_package({"Data": [*ROWS, ["ООО Сирень", "7707083893", "=A2"]], "Notes": [["ООО Ромашка", "TOPSECRET"]]}))
+    assert "ООО Ромашка".encode() in p.parts["xl/sharedStrings.xml"]  # as other programs write texts
+    p.parts["xl/worksheets/sheet1.xml"] = p.parts["xl/worksheets/sheet1.xml"].replace(b"</f></c>", "</f><v>ООО Ромашка</v></c>".encode())
+    p.parts["docProps/core.xml"] = "<x>ООО Лютик</x>".encode()
+    publish(p.save(), a)
+    e, i = maps.empty(spark, maps.ENTITY_MAP), maps.empty(spark, maps.IDENTIFIER_MAP)
+    jobs.anonymize_workbook(spark, a, b, RULES, e, identifier_map=i)
+    out = b"".join(load(b).parts.values())
+    assert [s.title for s in load(b).sheets] == ["Data", "Notes"] and b"TOPSECRET" in out  # without policies other sheets stay
+    assert b"7707083893" not in out and "ООО Лютик".encode() not in out and "ООО Сирень".encode() not in out
+    assert all("ООО Ромашка".encode() not in d for n, d in load(b).parts.items() if n != "xl/sharedStrings.xml")  # Notes has it
+    publish(published(p, drop={"Notes"}).save(), a)
+    rows = {"Data": [*ROWS], "Notes": [["ООО Ромашка", "TOPSECRET"]]}
+    publish(published(new_package(rows)).save(), a)
+    jobs.anonymize_workbook(spark, a, b, RULES, e, identifier_map=i, policies={"Data": "process", "Notes": "remove_all"})
+    out = b"".join(load(b).parts.values())
+    assert [s.title for s in load(b).sheets] == ["Data"]
+    assert not any(x.encode() in out for x in ("ООО Ромашка", "ООО Лютик", "7707083893", "500100732259", "TOPSECRET", "Notes"))
+    assert values(load(b))[2, 3] == 10
+
+
+def test_grammar_takes_what_scrub_gives(spark):
+    p = new_package({"Data": ROWS, "More": [["=1+1", None, 2.5, True]]}, {"More": "hidden"})
+    assert grammar.problems(grammar.nodes_of(spark, scrub.scrub(p).parts)).collect() == []
+    p.parts["xl/worksheets/sheet1.xml"] = p.parts["xl/worksheets/sheet1.xml"].replace(b"<sheetData>", b"<sheetPr/><sheetData>")
+    assert [r.element for r in grammar.problems(grammar.nodes_of(spark, p.parts)).collect()] == ["sheetPr"]
