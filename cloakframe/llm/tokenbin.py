@@ -30,6 +30,8 @@ HEAD_SIZE, TAIL_SIZE, ID_SIZE = (struct.calcsize(x) for x in (HEAD, TAIL, ID))
 _MASK_DELTA = 0xA282EAD8
 #: Bytes of frames that are written or read at once.
 BLOCK = 8 << 20
+#: Bytes of texts that go to one shard on average, at most.
+SHARD_BYTES = 512 << 20
 
 
 class CorruptRecord(ValueError):
@@ -84,6 +86,8 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                     if end_id is not None:
                         ids = np.append(ids, np.uint32(end_id))
+                    if width < 4 and len(ids) and int(ids.max()) >= 1 << 8 * width:
+                        raise ValueError("an id doesn't fit the width")
                     record = frame(struct.pack(ID, doc_id or 0, doc_id is not None) + ids.astype(f"<u{width}").tobytes())
                     offsets.append(at)
                     at, tokens, rows, held = at + len(record), tokens + len(ids), rows + 1, held + len(record)
@@ -104,11 +108,17 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
 def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, width: int = 2, parts: int | None = None) -> list[dict]:
     """Encode ``text`` and write the records in ascending doc_id order, null ids first; returns one entry a shard.
 
-    Null texts are empty; rows with the same doc_id lie side by side in the order of their texts. ``width`` is 2 for
-    vocabularies of up to 65,536 ids, else 4. Each entry: shard, n_docs, n_tokens, n_bytes. No rows give no shards.
+    Null texts are empty; rows with the same doc_id lie in the order of their texts, of a hash of them first, so that many
+    rows of one id, or without one, are spread. ``width`` is 2 for vocabularies of up to 65,536 ids, else 4; an id that
+    doesn't fit is an error. There are as many shards as ``SHARD_BYTES`` of texts ask for, ``spark.sql.shuffle.partitions`` at
+    least, or ``parts``. Each entry: shard, n_docs, n_tokens, n_bytes. No rows give no shards; other columns aren't read.
     """
-    n = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    n = parts
+    if n is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+        n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    dealt = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     done = dealt.mapInArrow(_writer(folder, tokenizer_path, end_id, width), "shard long, n_docs long, n_tokens long, n_bytes long").collect()
     return sorted((r.asDict() for r in done if r["n_docs"]), key=lambda r: r["shard"])
 
