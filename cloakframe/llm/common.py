@@ -78,7 +78,22 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def written() -> int:
+    """How many paths there are so far, for ``release``."""
+    return len(_written)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Remove what was written since then, but for the tables in ``keep`` as ``durable`` gave them. Nothing that is still to be read may depend on the rest."""
+    kept = {getattr(df, "stored_at", None) for df in keep}
+    for entry in [e for e in _written[since:] if e[1] not in kept]:
+        _remove(*entry)
+        _written.remove(entry)
 
 
 #: Rows up to which a table of narrow rows is broadcast; a larger one is joined by shuffling.
@@ -108,15 +123,18 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n: int | None = Non
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for entry in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(*entry)
         except Exception:  # the session may have ended already
             pass
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def crc32_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

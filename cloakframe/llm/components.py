@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, join_unique
+from .common import BROADCAST_ROWS, durable, join_unique, release, written
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes that occur in self-pairs alone are left out. No edges give an empty table.
     """
+    mark = written()
     current = durable(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")), "edges")
     before = None
     while True:
@@ -41,4 +42,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = after
         current = durable(_small_star(_large_star(current, after["n"])), "edges")
+        release(mark, current)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

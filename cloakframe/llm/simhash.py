@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_name, durable, join_unique
+from .common import BROADCAST_ROWS, column_name, durable, join_unique, release, written
 from .components import connected_components
 from .setjoin import LIKENESS, SAMPLE, first_members, member_order, similar_components
 
@@ -316,10 +316,11 @@ def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] |
     smallest. Null and empty texts are one component; texts of any length are read whole; columns keep their names, whatever
     they are; an empty table gives an empty one.
     """
-    own, row = docs.columns, column_name(docs, "_row")
+    own, row, mark = docs.columns, column_name(docs, "_row"), written()
     stored = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rows = stored.select("doc_id", "text", F.col(row).alias("row"))
     found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, **options), "found")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row")).alias("k")).select(F.col("k.row").alias("row"))
     gone = durable(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    release(mark, stored, gone)
     return stored.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti").select(*own)
