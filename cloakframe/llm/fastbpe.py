@@ -32,6 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.size = self.whole.get_vocab_size()
         self.lower = kind == "word"
         self.split = re.compile(_SPLIT[kind]).findall
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]

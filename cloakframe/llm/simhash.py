@@ -245,20 +245,20 @@ def link_fingerprints(fps: DataFrame, budget: int = 3, hot: int = HOT) -> DataFr
     return connected_components(stars)
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3, row: str | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, fp (long), root (the component's least fp), component_id: the smallest doc_id reachable over links of at most ``budget`` bits.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay; a row with a null
     doc_id has the component of its text, null if no doc_id is in it. An empty table gives an empty table. Texts of any
-    length are read whole. A column ``row``, if there, is passed on.
+    length are read whole. Other columns aren't read, but for a long column that ``row`` names: it is passed on as row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (F.col("row") if "row" in docs.columns else F.lit(None)).cast("long").alias("row"), "text")
+    rows = docs.select("doc_id", (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"), "text")
     own = durable(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, row long, fp long"), "fingerprints")
     classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     linked = durable(link_fingerprints(classes.select("fp"), budget), "linked")
     found = _with_components(own, classes, linked, "fp")
-    return found if "row" in docs.columns else found.drop("row")
+    return found.drop("row") if row is None else found
 
 
 def _with_components(own: DataFrame, classes: DataFrame, linked: DataFrame, key: str) -> DataFrame:
@@ -319,7 +319,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] |
     own, row, mark = docs.columns, column_name(docs, "_row"), written()
     stored = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rows = stored.select("doc_id", "text", F.col(row).alias("row"))
-    found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, **options), "found")
+    found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, row="row", **options), "found")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row")).alias("k")).select(F.col("k.row").alias("row"))
     gone = durable(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "gone")
     release(mark, stored, gone)

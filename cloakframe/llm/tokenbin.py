@@ -78,6 +78,8 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
         own = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"
         fs.create_dir(root, recursive=True)
         enc, offsets, at, tokens, rows = encoder(path, "byte"), [], 0, 0, 0
+        if max(enc.size - 1, end_id or 0) >= 1 << 8 * width:
+            raise ValueError("the vocabulary's ids don't fit the width")
         with fs.open_output_stream(f"{own}.records") as out:
             block: list[bytes] = []
             held = 0
@@ -86,8 +88,6 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                     if end_id is not None:
                         ids = np.append(ids, np.uint32(end_id))
-                    if width < 4 and len(ids) and int(ids.max()) >= 1 << 8 * width:
-                        raise ValueError("an id doesn't fit the width")
                     record = frame(struct.pack(ID, doc_id or 0, doc_id is not None) + ids.astype(f"<u{width}").tobytes())
                     offsets.append(at)
                     at, tokens, rows, held = at + len(record), tokens + len(ids), rows + 1, held + len(record)
@@ -109,8 +109,8 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
     """Encode ``text`` and write the records in ascending doc_id order, null ids first; returns one entry a shard.
 
     Null texts are empty; rows with the same doc_id lie in the order of their texts, of a hash of them first, so that many
-    rows of one id, or without one, are spread. ``width`` is 2 for vocabularies of up to 65,536 ids, else 4; an id that
-    doesn't fit is an error. There are as many shards as ``SHARD_BYTES`` of texts ask for, ``spark.sql.shuffle.partitions`` at
+    rows of one id, or without one, are spread. ``width`` is 2 for vocabularies of up to 65,536 ids, else 4; a vocabulary
+    that doesn't fit is an error. There are as many shards as ``SHARD_BYTES`` of texts ask for, ``spark.sql.shuffle.partitions`` at
     least, or ``parts``. Each entry: shard, n_docs, n_tokens, n_bytes. No rows give no shards; other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))

@@ -15,7 +15,7 @@ from cloakframe.llm.simhash import trie_pairs
 
 LONG = "the quick brown fox and a dog of the house in this land " * 4000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["size", "Target", "spans", "score", "rejected", "kept", "fp", "_key", "_part", "_text", "_index", "slice", "guest", "signatures", "component_id", "words", "_n", "_last"]
+EXTRA = ["size", "Target", "Spans", "Score", "rejected", "kept", "fp", "_key", "_part", "_text", "_index", "slice", "guest", "signatures", "component_id", "words", "_n", "_last", "_found", "_old_spans", "_row", "_epoch", "row", "_passes"]
 ROWS = [
     (1, "password = hunter2hunter2 the fox", "en", "a", 33),
     (1, "password = hunter2hunter2 the fox", "en", "a", 33),
@@ -60,6 +60,8 @@ def test_mixing(docs, empty, wide):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     out = mixing.mix_sources(wide)
     assert out.count() == len(ROWS) and [c for c in out.columns if c == "_key"] == ["_key"]
+    own = mixing.mixed_documents(wide)
+    assert own.columns == wide.columns and {(r["size"], r["_epoch"]) for r in own.collect()} == {(0, EXTRA.index("_epoch"))}
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in got)
@@ -214,6 +216,34 @@ def test_languages(docs, empty, wide):
     assert {r["lang_pred"] for r in langid.identify_languages(docs, langid.fit_languages(empty)).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters(spark):
+    model = langid.fit(["the house of the fox", "la casa de la zorra"], ["en", "es"])
+    assert [p[0] for p in model.predict(["½ ² ³", "Ⅷ", "12 !", "Ⅷ fox"])] == ["und", "und", "und", "en"]
+    rows = [(None, f"text number {i} of the fox and house", "en") for i in range(3000)]
+    assert len(langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200).languages) > 0
+
+
+def test_nearest_centroid_by_brute_force(spark, sf_dir):
+    """What the operator gives is the centroid with the greatest cosine, worked out one text and one gram at a time."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_languages(table)
+    for r in langid.identify_languages(table.where("doc_id % 9 = 0"), model).collect():
+        letters = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        b = (" " + " ".join(letters.split()) + " ").encode()
+        if not b.strip():
+            assert r["lang_pred"] == "und"
+            continue
+        tf = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                tf[((int.from_bytes(b[i : i + n], "big") + (n << 28)) * 2654435761) % 2**32 >> 19] += 1
+        v = np.zeros(langid.DIMENSIONS)
+        for k, x in tf.items():
+            v[k] = np.log1p(x) * model.idf[k]
+        cosines = model.centroids @ (v / np.linalg.norm(v))
+        assert model.languages[int(cosines.argmax())] == r["lang_pred"] and r["score"] == pytest.approx(float(cosines.max()), abs=1e-4)
+
+
 def test_far_texts_are_rejected(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit_languages(table)
@@ -250,6 +280,8 @@ def test_token_records(spark, docs, empty, wide, paths, tmp_path):
     i, ids = tokenbin.read_payload(folder, shards[-1]["shard"], shards[-1]["n_docs"] - 1)
     assert i == 7 and list(ids) == by_start[-1]["ids"]
     assert tokenbin.write_token_records(empty, f"{folder}2", paths[0]) == []
+    with pytest.raises(Exception, match="fit the width"):
+        tokenbin.write_token_records(docs, f"{folder}3", paths[0], width=1)
     assert tokenbin.read_token_records(spark, folder, []).count() == 0
 
 
@@ -295,7 +327,7 @@ def test_spotsigs_near_duplicates(spark, docs, empty, sf_dir):
 
 
 def test_sparse_and_negative_ids(spark):
-    ids = [-(2**40), -5, 0, 3, 2**40, 2**40 + 1]
+    ids = [-(2**63), -9 * 10**18, -(2**40), -5, 0, 3, 2**40, 2**40 + 1, 9 * 10**18, 2**63 - 1]
     t = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(spotsigs.with_signatures(spotsigs.next_texts(t), "text", "signatures")).collect()}
     assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
@@ -334,7 +366,7 @@ def test_automaton_is_edit_distance():
                 row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
         return row[-1]
 
-    terms = ["abcab", "abcabcab", "bcd", "ccccccccc", "abc"]
+    terms = ["abcab", "abcabcabca", "bcd", "ccccccccccc", "abc", "bbac"]
     lexicon, rng = toxicity.FuzzyLexicon(terms), np.random.default_rng(3)
     for _ in range(3000):
         w = "".join(rng.choice(list("abcx"), rng.integers(1, 12)))
@@ -382,6 +414,16 @@ def test_secret_spans_are_code_points(spark):
         assert got[i] == [(k, a, b) for a, _, k, b in sorted(want)], text
 
 
+def test_many_secrets_in_one_text(spark):
+    n = 5000
+    text = "".join(f"password = hunter2hunter{i} the é fox " for i in range(n))
+    t = spark.createDataFrame([(1, text), (2, text), (3, "x" * 10 + text[:40])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(t).collect()}
+    want = [(m.start(), m.end()) for m in secret_scan.re.finditer(r"password = hunter2hunter\d+", text)]
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == want and got[2]["spans"] == got[1]["spans"]
+    assert {r["text"] for r in secret_scan.redacted(t.where("doc_id < 3")).collect()} == {"[SECRET] the é fox " * n}
+
+
 def test_trigram_queries():
     q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})]

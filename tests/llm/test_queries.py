@@ -238,6 +238,73 @@ def test_pipeline_brute_force(spark, sf_dir, docs):
     assert all([a for a, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] for v in used.values())
 
 
+@pytest.fixture(scope="module")
+def labelled():
+    """Held-in and held-out labelled texts, and the model of the first."""
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.execute(f"select doc_id, max(toxic), any_value(text) from '{sf}/labels.parquet' join '{sf}/documents.parquet' using (doc_id) where toxic is not null group by 1 order by 1").fetchall()
+    held_out = [zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows]
+    inside, outside = ([(y, t) for (_, y, t), h in zip(rows, held_out, strict=True) if h == k] for k in (False, True))
+    return toxicity.fit([t for _, t in inside], [y for y, _ in inside], seeds=()), outside
+
+
+def test_toxicity_learns_its_terms(labelled):
+    """Without any seed term; the four languages' toxic words are learned from the labels alone."""
+    model, held = labelled
+    scores, y = model.score([t for _, t in held]), np.array([y for y, _ in held])
+    positive, negative = scores[y == 1], scores[y == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in positive for b in negative]) > 0.94
+    assert (positive >= 0.5).mean() > 0.9 and (negative >= 0.5).mean() < 0.02
+
+
+def test_toxicity_needs_edits_and_context(labelled):
+    model, held = labelled
+    terms, rng = {t for t in model.terms if not t.endswith("*")}, np.random.default_rng(1)
+
+    def spoiled(word):
+        if len(word) < 5 or word.lower().strip(".,;") not in terms:
+            return word
+        i = int(rng.integers(1, len(word) - 1))
+        return word[:i] + str(rng.choice(list("xyzqkw"))) + word[i + 1 :]
+
+    bad = [" ".join(map(spoiled, t.split(" "))) for y, t in held if y]
+    with_edits, without = ((model.score(bad, edits=e) >= 0.5).mean() for e in (True, False))
+    assert with_edits > without + 0.15
+    quoting = [t[:400] + ' he said "you are an idiot" and wrote the word "moron" there ' + t[400:] for y, t in held if not y]
+    with_context, without = ((model.score(quoting, context=c) >= 0.5).mean() for c in (True, False))
+    assert with_context < 0.05 < 0.9 < without
+
+
+def test_toxicity_score_by_brute_force(labelled):
+    """Scores from edit distances to every term, word by word."""
+    model, held = labelled
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, z in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != z)))
+        return row[-1]
+
+    def hit(word):
+        near = [(d, t) for t in model.terms if not t.endswith("*") and abs(len(t) - len(word)) <= toxicity.budget(t) and (d := distance(word, t)) <= toxicity.budget(t)]
+        stem = next(((0, s) for s in sorted(model.terms, key=len, reverse=True) if s.endswith("*") and word.startswith(s[:-1])), None)
+        if near and min(near)[0] == 0:
+            return min(near)
+        return stem or (min(near) if near and word not in model.clean else None)
+
+    for _, text in held[:40]:
+        low, sums = text.lower()[:3000], [0.0] * 4
+        for m in toxicity._TOKEN.finditer(low):
+            if found := hit(toxicity._plain(m[0])):
+                q, w = toxicity.quotation(low, *m.span()), model.strength.get(found[1], 1.0) / (1 + model.false.get(found[1], 0) if found[0] else 1)
+                sums[2 if found[1].endswith("*") else 1 if found[0] else 0] += (1 - q) * w
+                sums[3] += q * w
+        want = 1 / (1 + np.exp(-(np.array([*np.log1p(sums), 1.0]) @ np.array(model.weights))))
+        assert model.score([text[:3000]])[0] == pytest.approx(want)
+
+
 def test_toxicity_spelling_and_quotation():
     model = toxicity.fit([], [])
     direct, spelled, quoted, clean = model.score(["you are a worthless idiot, a stupid idiot", "you are a w0rthles id1ot, a stupyd idiott", 'he wrote "idiot" there', "a nice day"])
