@@ -80,17 +80,16 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
         enc, offsets, at, tokens, rows = encoder(path, "byte"), [], 0, 0, 0
         if max(enc.size - 1, end_id or 0) >= 1 << 8 * width:
             raise ValueError("the vocabulary's ids don't fit the width")
+        kind, end = f"<u{width}", b"" if end_id is None else end_id.to_bytes(width, "little")
         with fs.open_output_stream(f"{own}.records") as out:
             block: list[bytes] = []
             held = 0
             for batch in batches:
                 ids_of = enc.encode_all(batch.column("text").to_pylist())
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
-                    if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    record = frame(struct.pack(ID, doc_id or 0, doc_id is not None) + ids.astype(f"<u{width}").tobytes())
+                    record = frame(struct.pack(ID, doc_id or 0, doc_id is not None) + ids.astype(kind).tobytes() + end)
                     offsets.append(at)
-                    at, tokens, rows, held = at + len(record), tokens + len(ids), rows + 1, held + len(record)
+                    at, tokens, rows, held = at + len(record), tokens + len(ids) + (end_id is not None), rows + 1, held + len(record)
                     block.append(record)
                     if held >= BLOCK:
                         out.write(b"".join(block))
@@ -98,8 +97,8 @@ def _writer(folder: str, path: str, end_id: int | None, width: int):
             out.write(b"".join(block))
         with fs.open_output_stream(f"{own}.index") as out:
             out.write(np.array(offsets, dtype="<u8").tobytes())
-        for kind in ("records", "index"):
-            fs.move(f"{own}.{kind}", f"{root}/{shard:08d}.{kind}")
+        for name in ("records", "index"):
+            fs.move(f"{own}.{name}", f"{root}/{shard:08d}.{name}")
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": rows, "n_tokens": tokens, "n_bytes": at}])
 
     return run
