@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column_name, durable, join_unique, release, written
 from .components import connected_components
-from .setjoin import LIKENESS, SAMPLE, first_members, member_order, similar_components
+from .setjoin import BITMAP, LIKENESS, SAMPLE, bitmap, first_members, member_order, similar_components
 
 BITS = 64
 #: Distinct fingerprints that a group holds on average, at most; beyond it more blocks have to agree.
@@ -70,11 +70,11 @@ def _fingerprints(shingle: int):
 
 
 def _sets(shingle: int, likeness: tuple[int, int], places: np.ndarray):
-    """(doc_id, row, text) -> doc_id, row, the set's key, size and prefix, and the fingerprint, of one hashing of each text."""
+    """(doc_id, row, text) -> doc_id, row, the set's key, size, prefix and bitmap, and the fingerprint, of one hashing of each text."""
 
     def run(batches):
         for batch in batches:
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, prefixes, bitmaps = [], [], [], [], []
             for t in batch.column("text"):
                 hashed = _hashed(t.as_py(), shingle)
                 key, members = _shingle_set(hashed)
@@ -82,8 +82,10 @@ def _sets(shingle: int, likeness: tuple[int, int], places: np.ndarray):
                 fps.append(_sign(hashed))
                 sizes.append(len(members))
                 prefixes.append(first_members(members, places, likeness) if len(members) else members)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "fp", "n", "prefix"])
+                bitmaps.append(bitmap(members))
+            words = np.array(bitmaps, dtype=np.int64).reshape(-1, len(BITMAP))
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, words.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "fp", "n", "prefix", *BITMAP])
 
     return run
 
@@ -289,7 +291,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, in
     n = docs.select("row").count()
     some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     order = member_order(some.mapInArrow(_sampled_members(shingle), "member long"))
-    own = durable(docs.select("doc_id", "row", "text").mapInArrow(_sets(shingle, likeness, np.array(order, dtype=np.int32)), f"doc_id {kind}, row long, key long, fp long, n int, prefix array<long>"), "set-keys")
+    own = durable(docs.select("doc_id", "row", "text").mapInArrow(_sets(shingle, likeness, np.array(order, dtype=np.int32)), f"doc_id {kind}, row long, key long, fp long, n int, prefix array<long>, {", ".join(f"{b} long" for b in BITMAP)}"), "set-keys")
     classes = durable(own.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("row").alias("row")), "classes")
     near = classes.join(link_fingerprints(classes.select("fp").distinct()).withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("near"))
     near = durable(near, "near")
@@ -297,7 +299,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, in
     seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near", n, small=n).select(F.col("key").alias("u"), "v")
     # One row of each set goes on; its prefix is there already.
     firsts = own.join(classes.select("key", "row"), ["key", "row"], "left_semi")
-    prefixes = firsts.select(F.explode("prefix").alias("member"), "key", "n")
+    prefixes = firsts.select(F.explode("prefix").alias("member"), "key", "n", *BITMAP)
 
     def members_of(keys: DataFrame) -> DataFrame:
         wanted = durable(classes.join(keys, "key", "left_semi").select("key", "row"), "wanted-rows")

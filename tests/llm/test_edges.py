@@ -143,7 +143,7 @@ def test_set_join_is_exact(spark, monkeypatch, frequent):
     root = plain_components(sets)
     want = {k: r for k, r in root.items() if sum(x == r for x in root.values()) > 1}
     order = setjoin.member_order(t.select(F.explode("members").alias("member")))
-    prefixes = t.where("size(members) > 0").select(F.explode(setjoin.first_members_column("members", order)).alias("member"), "key", F.size("members").alias("n"))
+    prefixes = t.where("size(members) > 0").select(F.explode(setjoin.first_members_column("members", order)).alias("member"), "key", F.size("members").alias("n"), *setjoin.bitmap_columns("members"))
     plain = {k: sorted(map(int, setjoin.first_members(np.array(sorted(v)), np.array(order)))) for k, v in sets.items() if v}
     assert {r["key"]: sorted(r["p"]) for r in prefixes.groupBy("key").agg(F.collect_list("member").alias("p")).collect()} == plain
     for seed in (None, spark.createDataFrame([(0, 1), (5, 90)], "u long, v long")):
@@ -151,6 +151,21 @@ def test_set_join_is_exact(spark, monkeypatch, frequent):
         assert {r["node"]: r["root"] for r in got.collect()} == want
 
 
+def test_bitmaps_differ_no_more_than_sets(spark):
+    rng, rows = np.random.default_rng(12), []
+    for k in range(120):
+        base = np.unique(rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 400))))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.8], rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 60)))]))
+        rows += [(k, 0, base.tolist()), (k, 1, other.tolist())]
+    t = spark.createDataFrame(rows, "pair long, side int, members array<long>").select("pair", "side", "members", F.array(*setjoin.bitmap_columns("members")).alias("bits"))
+    found = {(r["pair"], r["side"]): r for r in t.collect()}
+    for k in range(120):
+        a, b = found[k, 0], found[k, 1]
+        assert a["bits"] == setjoin.bitmap(np.array(a["members"], dtype=np.int64)) and b["bits"] == setjoin.bitmap(np.array(b["members"], dtype=np.int64))
+        differ = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(a["bits"], b["bits"], strict=True))
+        assert differ <= len(set(a["members"]) ^ set(b["members"]))
+
+
 @pytest.mark.parametrize("kept", [1, 2, 3])
 def test_blocks_find_every_link(spark, kept):
     rng = np.random.default_rng(kept)
