@@ -836,10 +836,11 @@ def map_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "customer").orderBy("c_custkey").first()["c_name"]
     alias = maps.lookup_alias(m, first, "company")
     wrong = both.where(~F.col("alias").startswith("C_")).count() + (m.where(F.col("alias") == alias).first()["real_value"] != first)
-    twice = m.limit(1).unionByName(m.limit(1).withColumn("alias", F.lit("P_000000000")).withColumn("entity_type", F.lit("person")))
+    one = m.where(F.col("alias") == alias)  # a limit would take another row each time it is read
+    twice = one.unionByName(one.withColumn("alias", F.lit("P_000000000")).withColumn("entity_type", F.lit("person")))
     reason = None
     try:
-        maps.lookup_alias(twice, twice.first()["real_value"])
+        maps.lookup_alias(twice, first)
     except AmbiguousMappingError as e:
         reason = e.reason
     none = maps.lookup_alias(m, "nobody") is None and maps.lookup_token(_tokens(spark), "inn", "1") is None
