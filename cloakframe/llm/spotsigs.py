@@ -23,8 +23,8 @@ from .setjoin import BITMAP, LIKENESS, SAMPLE, bitmap_columns, first_members_col
 CHAIN = 3
 #: Documents of one slice of the order by doc_id, slices at most, and sampled ids for each.
 SLICE, MOST_SLICES, POINTS = 512, 10_000, 20
-#: Anchors taken from the corpus: documents in the sample, letters at most, the share of documents that have the word, and how many.
-ANCHOR_SAMPLE, ANCHOR_LETTERS, ANCHOR_SHARE, MOST_ANCHORS = 5_000, 4, 0.2, 100
+#: Anchors taken from the corpus: letters at most, the share of documents that have the word, and how many.
+ANCHOR_LETTERS, ANCHOR_SHARE, MOST_ANCHORS = 4, 0.2, 100
 
 
 def _words(text: Column) -> Column:
@@ -33,11 +33,10 @@ def _words(text: Column) -> Column:
 
 
 def corpus_anchors(docs: DataFrame) -> list[str]:
-    """Listed common words and the short words that a bounded sample of the texts (by a hash of them) shows to be common."""
-    n = docs.select("doc_id").count()
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit("anchors")), F.lit(max(1, n // ANCHOR_SAMPLE))) == 0)
-    found = durable(some.select(F.explode(F.array_distinct(F.filter(_words(F.col("text")), lambda w: (F.length(w) <= ANCHOR_LETTERS) & w.rlike(r"^\p{L}+$")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "short-words")
-    least = F.lit(max(1.0, ANCHOR_SHARE * some.select("text").count()))
+    """Listed common words and the short words that are common, counted over all texts."""
+    short = F.array_distinct(F.filter(_words(F.col("text")), lambda w: (F.length(w) <= ANCHOR_LETTERS) & w.rlike(r"^\p{L}+$")))
+    found = durable(docs.select(F.explode(short).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "short-words")
+    least = F.lit(max(1.0, ANCHOR_SHARE * docs.count()))
     rows = found.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(MOST_ANCHORS).collect()
     return sorted({*VOCABULARY, *(r["w"] for r in rows)})
 

@@ -331,6 +331,14 @@ def test_spotsigs(docs, empty, wide):
     assert spotsigs.edited_neighbours(docs.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
+def test_spotsigs_anchors_of_all_texts(spark):
+    words = [f"q{a}{b}" for a in "bcdfghjklm" for b in "bcdfghjkl"]
+    # Of 12,000 texts each of the first 60 words is in a fifth, each of the others in one text less.
+    texts = [(i, " ".join([f"text{i}", *(w for k, w in enumerate(words) if (i + 131 * k) % 12_000 < 2400 - (k >= 60))])) for i in range(12_000)]
+    got = spotsigs.corpus_anchors(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got == sorted({*spotsigs.VOCABULARY, *words[:60]})
+
+
 def test_spotsigs_near_duplicates(spark, docs, empty, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sets = {r["doc_id"]: set(r["s"]) for r in spotsigs.with_signatures(table, "text", "s").collect()}
