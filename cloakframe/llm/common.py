@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,18 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Python functions of actions in this block get ``rows`` rows at once at most; each batch is held by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) < 1 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written() -> int:
     """How many paths there are so far, for ``release``."""
     return len(_written)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, durable, join_unique, release, written
@@ -116,12 +116,17 @@ def _verified(pairs: DataFrame, members_of, likeness: tuple[int, int]) -> DataFr
     return durable(left.join(own.select(F.col("key").alias("v"), F.col("members").alias("b")), "v").where(alike("a", "b", likeness)).select("u", "v"), "links")
 
 
+def _no_pairs(spark: SparkSession, *names: str) -> DataFrame:
+    """An empty table of longs; one made of a Python list would start Python workers of its own."""
+    return spark.range(0).select(*[F.col("id").alias(c) for c in names])
+
+
 def _relabelled(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have been linked: the label of each link's v becomes that of its u.
 
     Nodes of one label are connected, while connected nodes may have several labels: labels only save comparisons.
     """
-    label = lambda c, name: links.sparkSession.createDataFrame([], f"{c} long, {name} long") if roots is None else roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    label = lambda c, name: _no_pairs(links.sparkSession, c, name) if roots is None else roots.select(F.col("node").alias(c), F.col("root").alias(name))
     named = links.join(label("u", "ru"), "u", "left").join(label("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("to"), F.coalesce("rv", "v").alias("root"))
     moves = durable(named.where("to <> root").groupBy("root").agg(F.min("to").alias("to")), "moves")
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
@@ -141,17 +146,18 @@ def _banded(shared: DataFrame, roots: DataFrame | None, likeness: tuple[int, int
     return durable(rows.join(mixed, ["member", "band"]), "banded")
 
 
-def similar_components(prefixes: DataFrame, members_of, likeness: tuple[int, int] = LIKENESS, seed: DataFrame | None = None) -> DataFrame:
+def similar_components(prefixes: DataFrame, members_of, likeness: tuple[int, int] = LIKENESS, seed: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(member long, key long, n int, bitmap), the members of each set's prefix -> (node, root) of the keys with another in their component; root is the least key in it.
 
     Components are those of all pairs with a Jaccard index of ``likeness`` or more. A key has one set; empty sets have no
     links. ``members_of`` gives (key, members array<long>), one row a key, for a table of keys; members are distinct. ``seed``
-    has (u, v) pairs that are worth comparing first.
+    has (u, v) pairs that are worth comparing first. With ``sizes``, (key, n, bitmap) with one row a key, prefixes have members
+    and keys only; most members are in one set alone, so fewer rows move with sizes and bitmaps.
     """
     own = Window.partitionBy("member")
     shared = prefixes.withColumn("low", F.min("key").over(own)).withColumn("high", F.max("key").over(own)).where("low <> high").drop("low", "high")
-    shared = durable(shared, "shared")
-    links = prefixes.sparkSession.createDataFrame([], "u long, v long") if seed is None else _verified(seed.where("u <> v"), members_of, likeness)
+    shared = durable(shared if sizes is None else shared.join(sizes, "key"), "shared")
+    links = _no_pairs(prefixes.sparkSession, "u", "v") if seed is None else _verified(seed.where("u <> v"), members_of, likeness)
     roots = None if seed is None else _relabelled(None, links)
     apart = (F.col("root") != F.col("other")) & _hopeful(likeness)
     others = [F.col(b).alias(f"other_{b}") for b in BITMAP]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_name, durable, join_unique, release, written
+from .common import BROADCAST_ROWS, batches_of, column_name, durable, join_unique, release, written
 from .components import connected_components
 from .setjoin import BITMAP, LIKENESS, SAMPLE, bitmap, first_members, member_order, similar_components
 
@@ -28,6 +28,8 @@ GROUP = 512
 HOT = 20_000
 #: Node pairs that a task holds at once.
 FRONTIER = 1_000_000
+#: Texts that a Python worker gets at once.
+BATCH = 500
 #: Fingerprints of whole groups that a task joins at once.
 CHUNK = 50_000
 
@@ -299,14 +301,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, likeness: tuple[int, in
     seed = join_unique(near, near.groupBy("near").agg(F.min("key").alias("v")), "near", n, small=n).select(F.col("key").alias("u"), "v")
     # One row of each set goes on; its prefix is there already.
     firsts = own.join(classes.select("key", "row"), ["key", "row"], "left_semi")
-    prefixes = firsts.select(F.explode("prefix").alias("member"), "key", "n", *BITMAP)
+    prefixes = firsts.select(F.explode("prefix").alias("member"), "key")
 
     def members_of(keys: DataFrame) -> DataFrame:
         wanted = durable(classes.join(keys, "key", "left_semi").select("key", "row"), "wanted-rows")
         texts = docs.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "row")
         return texts.select("key", "text").mapInArrow(_members(shingle), "key long, members array<long>")
 
-    linked = durable(similar_components(prefixes, members_of, likeness, seed), "linked")
+    linked = durable(similar_components(prefixes, members_of, likeness, seed, firsts.select("key", "n", *BITMAP)), "linked")
     return _with_components(own, classes.select("key", "first_id"), linked, "key")
 
 
@@ -321,7 +323,8 @@ def deduplicated(docs: DataFrame, shingle: int = 3, likeness: tuple[int, int] |
     own, row, mark = docs.columns, column_name(docs, "_row"), written()
     stored = durable(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rows = stored.select("doc_id", "text", F.col(row).alias("row"))
-    found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, row="row", **options), "found")
+    with batches_of(docs.sparkSession, BATCH):
+        found = durable(similar_documents(rows, shingle, likeness) if likeness else near_duplicates(rows, shingle=shingle, row="row", **options), "found")
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "row")).alias("k")).select(F.col("k.row").alias("row"))
     gone = durable(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "gone")
     release(mark, stored, gone)

@@ -331,6 +331,27 @@ def test_spotsigs(docs, empty, wide):
     assert spotsigs.edited_neighbours(docs.where("doc_id = 7")).first()["near_next"] == 1.0
 
 
+def test_deduplicated_hands_few_texts_to_python_at_once(spark, monkeypatch):
+    sets, most = simhash._sets, simhash.BATCH
+
+    def watched(*options):
+        run = sets(*options)
+
+        def checked(batches):
+            for batch in batches:
+                assert batch.num_rows <= most
+                yield from run([batch])
+
+        return checked
+
+    monkeypatch.setattr(simhash, "_sets", watched)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    table = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.floor(F.col("id") / 2) + i for i in (1, 7, 5, 3, 9, 4)]).alias("text"))
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(table, 5, (4, 5)).collect()) == list(range(0, 3000, 2))
+    assert spark.conf.get(name) == before
+
+
 def test_spotsigs_anchors_of_all_texts(spark):
     words = [f"q{a}{b}" for a in "bcdfghjklm" for b in "bcdfghjkl"]
     # Of 12,000 texts each of the first 60 words is in a fifth, each of the others in one text less.
