@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,28 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+_occupant: str | None = None
+_left_behind: list[Callable[[], None]] = []
+
+
+def dropped_by_others(clear: Callable[[], None]) -> None:
+    """``clear`` empties what an operator keeps in a worker process between its tasks; it runs when another operator's task begins there."""
+    _left_behind.append(clear)
+
+
+def occupies(operator: str) -> None:
+    """Call it where a Python function begins. Workers are used again by the tasks of all operators: what another one has kept
+    goes, and memory that is free goes back to the system, which neither Arrow nor the C library does by itself."""
+    global _occupant
+    if operator != _occupant:
+        for clear in _left_behind:
+            clear()
+        _occupant = operator
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def written() -> int:
     """How many paths there are so far, for ``release``."""
     return len(_written)

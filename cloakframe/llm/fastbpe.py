@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import dropped_by_others
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
 #: The split patterns of the two vocabularies, over the plain characters above.
@@ -88,6 +90,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+dropped_by_others(_encoders.clear)
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, crc32_remainder
+from .common import column_name, crc32_remainder, occupies
 
 DIMENSIONS = 8192
 CLUSTERS = 4
@@ -157,6 +157,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        occupies("langid")
         return pd.DataFrame(shared.value.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "rejected"])
 
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]

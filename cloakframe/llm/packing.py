@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import batches_of, durable, occupies
 from .fastbpe import encoder
 
 #: Open bins of a packer.
 OPEN = 256
+#: Texts that a Python worker gets at once.
+BATCH = 500
 #: Packers whose open bins the next round's packer takes.
 FAN_IN = 32
 
@@ -66,6 +68,7 @@ class BestFit:
 
 def _pack(path: str, capacity: int, end_id: int, open_bins: int, with_ids: bool):
     def run(batches):
+        occupies("packing")
         part, fit, enc = TaskContext.get().partitionId(), BestFit(capacity, open_bins), encoder(path, "word")
         for batch in batches:
             out = []
@@ -121,7 +124,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     so texts are tokenized once and sequences stay the same when executors are lost.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    packed = durable(rows.mapInArrow(_pack(tokenizer_path, capacity, end_id, open_bins, with_ids), _PIECES), "packed")
+    with batches_of(docs.sparkSession, BATCH):
+        packed = durable(rows.mapInArrow(_pack(tokenizer_path, capacity, end_id, open_bins, with_ids), _PIECES), "packed")
     left = packed.where("piece = -1").select(F.col("sequence_id").alias("bin"), F.col("length").alias("fill"))
     groups, level, moves = rows.rdd.getNumPartitions(), 0, None
     left = left.withColumn("part", F.shiftright("bin", 32))

@@ -130,7 +130,10 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Postings of an alternative's trigrams are intersected: a text stays if all of them have it. Texts may be posted repeatedly.
     """
     queries = [(w, 1 << place, n, 1 << i, (1 << len(need)) - 1) for place, r in enumerate(rules) for n, need in enumerate(trigram_query(r.pattern) or []) for i, w in enumerate(sorted(need))]
-    wanted = index.sparkSession.createDataFrame(queries, "trigram string, rule long, alternative int, bit long, whole long")
+    # One made of a Python list would start Python workers of its own.
+    kinds = {"trigram": "string", "rule": "long", "alternative": "int", "bit": "long", "whole": "long"}
+    listed = F.array(*[F.struct(*[F.lit(x).cast(t).alias(c) for x, (c, t) in zip(q, kinds.items(), strict=True)]) for q in queries])
+    wanted = index.sparkSession.range(0, 1, 1, 1).select(F.inline(listed.cast(f"array<struct<{','.join(f'{c}:{t}' for c, t in kinds.items())}>>")))
     met = index.join(F.broadcast(wanted), "trigram").groupBy("key", "rule", "alternative").agg(F.bit_or("bit").alias("bits"), F.max("whole").alias("whole"))  # the rules' own trigrams are broadcast
     return met.where("bits = whole").groupBy("key").agg(F.bit_or("rule").alias("rules"))
 

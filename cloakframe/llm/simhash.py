@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches_of, column_name, durable, join_unique, release, written
+from .common import BROADCAST_ROWS, batches_of, column_name, durable, join_unique, occupies, release, written
 from .components import connected_components
 from .setjoin import BITMAP, LIKENESS, SAMPLE, bitmap, first_members, member_order, similar_components
 
@@ -64,6 +64,7 @@ def _fingerprints(shingle: int):
     """(doc_id, row, text) -> doc_id, row, fp."""
 
     def run(batches):
+        occupies("simhash")
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "row", "fp"])
@@ -75,6 +76,7 @@ def _sets(shingle: int, likeness: tuple[int, int], places: np.ndarray):
     """(doc_id, row, text) -> doc_id, row, the set's key, size, prefix and bitmap, and the fingerprint, of one hashing of each text."""
 
     def run(batches):
+        occupies("simhash")
         for batch in batches:
             keys, fps, sizes, prefixes, bitmaps = [], [], [], [], []
             for t in batch.column("text"):
@@ -96,6 +98,7 @@ def _members(shingle: int):
     """(key, text) -> key, members."""
 
     def run(batches):
+        occupies("simhash")
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
@@ -107,6 +110,7 @@ def _members(shingle: int):
 
 def _sampled_members(shingle: int):
     def run(batches):
+        occupies("simhash")
         for batch in batches:
             for t in batch.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(_hashed(t.as_py(), shingle))[1])], ["member"])
@@ -183,6 +187,7 @@ def _stars(budget: int):
         return pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[root[linked]].view(np.int64))], ["u", "v"])
 
     def run(batches):
+        occupies("simhash")
         fps, keys = np.empty(0, np.uint64), np.empty((0, 2), np.int64)
         for batch in batches:
             fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)])

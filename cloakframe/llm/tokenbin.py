@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import occupies
 from .fastbpe import encoder
 
 #: Layouts of a record's head (length, checksum) and tail (checksum) and of what precedes the ids.
@@ -73,6 +74,7 @@ def _open(folder: str):
 
 def _writer(folder: str, path: str, end_id: int | None, width: int):
     def run(batches):
+        occupies("tokenbin")
         fs, root = _open(folder)
         shard = TaskContext.get().partitionId()
         own = f"{root}/.{shard:08d}-{uuid.uuid4().hex}"

@@ -4,11 +4,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakframe.llm import chat, common, langid, mixing, packing, quality, secret_scan, setjoin, simhash, spotsigs, tokenbin, toxicity
+from cloakframe.llm import chat, common, fastbpe, langid, mixing, packing, quality, secret_scan, setjoin, simhash, spotsigs, tokenbin, toxicity
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.fastbpe import Encoder
 from cloakframe.llm.simhash import trie_pairs
@@ -352,6 +353,52 @@ def test_deduplicated_hands_few_texts_to_python_at_once(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+def test_workers_keep_nothing_of_another_operator(paths):
+    encode = fastbpe.encoder(paths[1], "word").encode
+    encode("the fox")
+    common.occupies("packing")
+    kept = fastbpe.encoder(paths[1], "word")
+    kept.encode("the fox")
+    common.occupies("packing")
+    assert fastbpe.encoder(paths[1], "word") is kept and kept.known
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1], "row": [1], "text": ["the fox and a dog"]})
+    assert next(simhash._fingerprints(3)([texts])).num_rows == 1
+    assert not fastbpe._encoders
+
+
+def test_packing_hands_few_texts_to_python_at_once(spark, monkeypatch, paths):
+    pack = packing._pack
+
+    def watched(*options):
+        run = pack(*options)
+
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    assert batch.num_rows <= 500
+                    yield batch
+
+            return run(each())
+
+        return checked
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    table = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("the fox").alias("text"))
+    assert packing.pack_documents(table, paths[1]).count() == 3000
+    assert spark.conf.get(name) == before
+
+
+def test_secrets_start_no_python(spark):
+    index = secret_scan.trigram_index(spark.range(3).select(F.col("id").alias("key"), F.lit("password = hunter2hunter2").alias("text")))
+    found = secret_scan.candidates(index)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert sorted(r["key"] for r in found.collect()) == [0, 1, 2]
+    free = (secret_scan.Rule("hex", "[0-9a-f]+", 0, 32),)
+    assert secret_scan.candidates(secret_scan.trigram_index(spark.range(3).select(F.col("id").alias("key"), F.lit("ab").alias("text")), free), free).count() == 0
+
+
 def test_spotsigs_anchors_of_all_texts(spark):
     words = [f"q{a}{b}" for a in "bcdfghjklm" for b in "bcdfghjkl"]
     # Of 12,000 texts each of the first 60 words is in a fifth, each of the others in one text less.
