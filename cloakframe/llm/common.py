@@ -108,17 +108,22 @@ def dropped_by_others(clear: Callable[[], None]) -> None:
     _left_behind.append(clear)
 
 
+def give_back() -> None:
+    """Memory of this process that is free goes back to the system, which neither Arrow nor the C library does by itself."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def occupies(operator: str) -> None:
     """Call it where a Python function begins. Workers are used again by the tasks of all operators: what another one has kept
-    goes, and memory that is free goes back to the system, which neither Arrow nor the C library does by itself."""
+    goes, and free memory with it."""
     global _occupant
     if operator != _occupant:
         for clear in _left_behind:
             clear()
         _occupant = operator
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
 
 
 def written() -> int:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, crc32_remainder, occupies
+from .common import column_name, crc32_remainder, give_back, occupies
 
 DIMENSIONS = 8192
 CLUSTERS = 4
@@ -117,9 +117,15 @@ def fit(texts: list[str | None], langs: list[str], clusters: int = CLUSTERS, qua
     rows = sorted((lang, t) for lang, t in zip(langs, texts, strict=True) if letters(t))
     if not rows:
         return LanguageModel(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), {})
-    tf = np.stack([counts(t) for _, t in rows])
-    idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    v, own = vectors(tf, idf), np.array([lang for lang, _ in rows])
+    tf = np.empty((len(rows), DIMENSIONS), np.int32)
+    for i, (_, t) in enumerate(rows):
+        tf[i] = counts(t)
+    held = sum(((tf[i : i + 32] > 0).sum(0) for i in range(0, len(rows), 32)), np.zeros(DIMENSIONS, np.int64))
+    idf = (np.log((1 + len(rows)) / (1 + held)) + 1).astype(np.float32)
+    # The vectors take the place of the counts: the driver holds one such table, not five.
+    v, own = tf.view(np.float32), np.array([lang for lang, _ in rows])
+    for i in range(0, len(rows), 32):
+        v[i : i + 32] = vectors(tf[i : i + 32], idf)
     long_enough = np.array([letters(t) >= MIN_LETTERS for _, t in rows])
     centroids, languages, held_out = [], [], {}
     for lang in sorted(set(own)):
@@ -144,7 +150,10 @@ def fit_languages(labelled: DataFrame, sample: int = 400, most: int = 1000, **op
     shares = sizes.select("lang", (F.least(F.lit(1.0), F.lit(sample) / F.col("n")) * 1_000_000).alias("share"))
     point = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("language sample")), F.lit(1_000_000))
     rows = known.join(F.broadcast(shares), "lang").where(point < F.col("share")).select("text", "lang").collect()  # ``most`` rows are broadcast
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
+    model = fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
+    del rows
+    give_back()  # the driver keeps the counts' memory otherwise
+    return model
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

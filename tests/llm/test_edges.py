@@ -1,6 +1,7 @@
 """Null, empty, repeated and very long rows, empty tables, and clashing columns, for every operator and stage."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -366,6 +367,24 @@ def test_workers_keep_nothing_of_another_operator(paths):
     assert not fastbpe._encoders
 
 
+def test_fitted_languages_leave_no_free_memory(docs, monkeypatch):
+    done, fitted = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a, **b: (done.append("fitted"), fitted(*a, **b))[1])
+    monkeypatch.setattr(langid, "give_back", lambda: done.append("given back"))
+    langid.fit_languages(docs)
+    assert done == ["fitted", "given back"]
+
+
+def test_fit_holds_one_table_of_counts():
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnprst"]
+    texts = [" ".join(words[(i * k) % 200] for k in range(1, 30)) for i in range(1600)]
+    tracemalloc.start()
+    langid.fit(texts, [f"l{i % 8}" for i in range(1600)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 1600 * langid.DIMENSIONS * 4
+
+
 def test_packing_hands_few_texts_to_python_at_once(spark, monkeypatch, paths):
     pack = packing._pack
 
